@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.decontaminate import op9_decontamination
 from palimpsest.llm.media import op10_media_columns
+from palimpsest.llm.mixing import op2_mixing
+from palimpsest.llm.tokens import op5_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op2_mixing,
+        op5_token_output,
         op9_decontamination,
         op10_media_columns,
     )
