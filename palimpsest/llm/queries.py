@@ -10,11 +10,13 @@ from palimpsest.llm.decontaminate import op9_decontamination
 from palimpsest.llm.media import op10_media_columns
 from palimpsest.llm.mixing import op2_mixing
 from palimpsest.llm.tokens import op5_token_output
+from palimpsest.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op2_mixing,
+        op3_toxicity,
         op5_token_output,
         op9_decontamination,
         op10_media_columns,
