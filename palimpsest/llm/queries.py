@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.decontaminate import op9_decontamination
+from palimpsest.llm.lines import op1_line_dedup
 from palimpsest.llm.media import op10_media_columns
 from palimpsest.llm.mixing import op2_mixing
 from palimpsest.llm.tokens import op5_token_output
@@ -15,6 +16,7 @@ from palimpsest.llm.toxicity import op3_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_line_dedup,
         op2_mixing,
         op3_toxicity,
         op5_token_output,
