@@ -82,7 +82,7 @@ class LineIndex:
         """Written so that each task holds whole buckets: one sorted file for each."""
         name = f"{self.name}_{self.n}"
         self.n += 1
-        writer = df.repartition(self.buckets, "h1").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h1").sortBy("h1", "h2")
+        writer = df.repartition(self.buckets, "h1", "h2").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
         (writer.partitionBy(partition) if partition else writer).saveAsTable(name)
         return name
 

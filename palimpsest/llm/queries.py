@@ -12,6 +12,7 @@ from palimpsest.llm.media import op10_media_columns
 from palimpsest.llm.mixing import op2_mixing
 from palimpsest.llm.tokens import op5_token_output
 from palimpsest.llm.toxicity import op3_toxicity
+from palimpsest.llm.urls import op8_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_mixing,
         op3_toxicity,
         op5_token_output,
+        op8_url_filters,
         op9_decontamination,
         op10_media_columns,
     )
