@@ -104,3 +104,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0xC4CEB9FE1A85EC53)
         x ^= x >> np.uint64(33)
     return x
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows with equal values in the first `keys` columns, over batch borders; for input sorted by them."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(b.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist()]
+        for a, z in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(b.slice(a, z - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
