@@ -11,6 +11,7 @@ from palimpsest.llm.lines import op1_line_dedup
 from palimpsest.llm.media import op10_media_columns
 from palimpsest.llm.mixing import op2_mixing
 from palimpsest.llm.neardup import op7_near_dedup
+from palimpsest.llm.substrings import op6_suffix_dedup
 from palimpsest.llm.tokens import op5_token_output
 from palimpsest.llm.toxicity import op3_toxicity
 from palimpsest.llm.urls import op8_url_filters
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_mixing,
         op3_toxicity,
         op5_token_output,
+        op6_suffix_dedup,
         op7_near_dedup,
         op8_url_filters,
         op9_decontamination,
