@@ -226,7 +226,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
 
     A removed span reaches from its first word's first byte to its last word's last byte; the rest of the text stays byte for byte.
     """
-    found = match(docs, benchmark, window)
+    found, columns = match(docs, benchmark, window), list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -245,7 +245,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
                     text = b"".join([*out, text[last:]])
                 texts.append(text)
             clean = with_columns(b, {"text": pa.array([t.decode() if t is not None else None for t in texts], pa.string())})
-            yield clean.filter(pa.array(keep)).select(list(docs.columns))
+            yield clean.filter(pa.array(keep)).select(columns)
 
     return found.mapInArrow(run, schema_with(docs))
 
