@@ -134,7 +134,7 @@ class Encoder(dict):
 
     TAIL = b".,;:!?"
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -163,12 +163,22 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker process's encoder: its chunks stay known from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
     """part int (by doc_id, below bounds), doc_id long, ids binary (little-endian unsigned 32 bits, with the end id)."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for b in slices(batches):
             ids = b.column(0).to_pylist()
             part = [0 if i is None else bisect_right(bounds, i) for i in ids]
