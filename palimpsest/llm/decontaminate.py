@@ -237,7 +237,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
                 keep.append(not pairs or sum(y - x for x, y in pairs) <= max_coverage * n)
                 pairs = [(x, y) for x, y in pairs if y - x >= min(min_span, window)]
                 if pairs and keep[-1]:
-                    at = [m.span() for m in WORD.finditer(text)]
+                    at = [m.span() for m in WORD.finditer(text.lower())]
                     out, last = [], 0
                     for x, y in pairs:
                         out.append(text[last : at[x][0]])
