@@ -42,8 +42,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers:
         size = PIECE + 1024
         with np.errstate(over="ignore"):
-            _powers["up"] = np.cumprod(np.concatenate(([1], np.full(size, BASE))).astype(np.uint64), dtype=np.uint64)
-            _powers["down"] = np.cumprod(np.concatenate(([1], np.full(size, pow(BASE, -1, 1 << 64)))).astype(np.uint64), dtype=np.uint64)
+            for name, factor in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+                steps = np.full(size + 1, factor, np.uint64)
+                steps[0] = 1
+                _powers[name] = np.cumprod(steps, dtype=np.uint64)
     return _powers["up"][:n], _powers["down"][:n]
 
 
@@ -115,12 +117,6 @@ def multikey_ties(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
     return tied
 
 
-def _stretches(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of consecutive window starts as covered byte ranges."""
-    edge = np.flatnonzero(np.diff(starts) != 1)
-    return starts[np.concatenate(([0], edge + 1))], starts[np.append(edge, len(starts) - 1)] + length
-
-
 def _within_buckets(texts: DataFrame, length: int) -> DataFrame:
     """_sd_id, lo, hi of rows (head, kind, want, _sd_id, spot, segment) sorted by head: wanted segments' repeating stretches."""
     pad = -length % 8
@@ -139,13 +135,12 @@ def _within_buckets(texts: DataFrame, length: int) -> DataFrame:
             rows = np.pad(rows, ((0, 0), (0, pad))) if pad else rows
             of, start = np.concatenate(of), np.concatenate(start)
             hit = multikey_ties(rows, np.concatenate(distance)) & (want[of] == 1)
-            out = [[], [], []]
-            for k in np.unique(of[hit]):
-                lo, hi = _stretches(start[hit & (of == k)], length)
-                for column, v in zip(out, (np.full(len(lo), ids[k]), lo, hi), strict=True):
-                    column.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["_sd_id", "lo", "hi"])
+            at = np.flatnonzero(hit)
+            if len(at):
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) != 1) | (np.diff(of[at]) != 0)
+                first, last = at[new], at[np.append(new[1:], True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of[first]]), pa.array(start[first]), pa.array(start[last] + length)], names=["_sd_id", "lo", "hi"])
 
     return texts.mapInArrow(run, "_sd_id long, lo long, hi long")
 
