@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -141,6 +142,9 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        #: The byte-level alphabet: printable bytes are themselves, the others follow from U+0100 on.
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - plain))}
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -152,13 +156,21 @@ class Encoder(dict):
             elif chunk.isalpha() and not chunk.islower():
                 found = self[chunk.lower()]
             else:
-                found = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                found = array("I", self._ids(chunk.decode())).tobytes()  # little-endian here, as on all machines that Spark supports
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[chunk] = found
         return found
 
+    def _ids(self, text: str) -> list[int]:
+        """A word of Latin letters is one pre-token, so the library's model takes it at once; anything else goes the whole way."""
+        if text.isalpha() and max(text) < "\u0250":
+            lower = "".join(c.lower() for c in text)
+            if lower.isalpha() and max(lower) < "\u0250":
+                return [t.id for t in self.tokenizer.model.tokenize(lower.encode().decode("latin-1").translate(self.alphabet))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def __call__(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
