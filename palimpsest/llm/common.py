@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,7 +28,7 @@ class Workspace:
     """Tables that one operator run writes to the shared folder. Written tables cut lineage: a lost executor costs a re-read, not a recomputation."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, shared_dir(spark), 0
+        self.spark, self.root, self.n, self.freed = spark, shared_dir(spark), 0, time.monotonic()
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -35,7 +37,17 @@ class Workspace:
     def stage(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = self.path(name)
         df.write.option("compression", compression).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        schema = df.schema
+        del df
+        self.free()
+        return self.spark.read.schema(schema).parquet(path)
+
+    def free(self) -> None:
+        """Lets Spark delete shuffle files that no live plan needs: it does so when the driver collects garbage, which an idle driver hardly does."""
+        if time.monotonic() - self.freed > 3:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            self.freed = time.monotonic()
 
     def drop(self, df: DataFrame | str) -> None:
         """Remove one staged table, or the whole workspace by its root."""

@@ -1,17 +1,17 @@
 """MinHash near-dedup by the chosen-path set similarity join.
 
 Texts are sets of 5-word shingles. Equal sets are one class from the start. Every class enters 16 independent trees; in each it goes down a
-path of chosen minwise tokens, and classes on the same path form a node. Nodes of more than `small` classes branch again on two further
-minwise tokens, until they are small, or stay together although they branched (a dense group of similar sets), or reach the depth limit.
-Leaves are compared by 64 sketch bytes, and pairs that may be similar are confirmed on the full sets of the texts:
+path of chosen minwise tokens, and classes on the same path form a node. Nodes of more than `small` classes branch again on a further
+minwise token, until they are small, or stay together although they branched (a dense group of similar sets), or reach the depth limit.
+Leaves are compared by 128 sketch bytes, and pairs that may be similar are confirmed on the full sets of the texts:
 
 1. every class against its leaf's first class;
 2. classes that are not yet connected with it against the rest of the leaf, the likeliest pair of each block;
 3. all pairs of a leaf, in blocks of at most 512 x 512, that are still unconnected.
 
 So a dense group costs a few confirmations for each class instead of all pairs, and a pair goes unconfirmed only if it is connected by others
-already. At similarity 0.75 one tree misses a pair with probability 0.25 at its first level and at most 0.32 where nodes branch on; all 16
-miss it with less than 1e-7. The sketch filter asks for 30 of 64 equal bytes; a pair of similarity 0.75 has fewer with about 1e-6.
+already. A tree misses a pair of similarity 0.75 with probability 0.25 where its nodes are small, so that all 16 miss it with less than 1e-9.
+The sketch filter asks for 73 of 128 equal bytes; a pair of similarity 0.75 has fewer with about 1e-6.
 
 Null texts and texts without words have empty sets and are linked with nothing. Repeated doc_ids are documents of their own that share an id.
 A null doc_id never is the smallest of a component; a component of null doc_ids only has a null id. Empty tables give empty results. Extra
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Workspace, col_or_null, mix64, partitions, raw, runs_of, schema_with, slices, with_columns
 
-WORDS, TREES, COORDINATES, LEAST_EQUAL = 5, 16, 64, 30
-SMALL, DENSE, DEPTH, BLOCK = 64, 0.8, 8, 512
+WORDS, TREES, COORDINATES, LEAST_EQUAL = 5, 16, 128, 73
+#: Bytes of a sketch: one for each coordinate, then four of each tree's first token.
+SKETCH = COORDINATES + 4 * TREES
+SMALL, DENSE, DEPTH, BLOCK = 64, 0.8, 10, 512
 _random = np.random.default_rng(20240229)
 PLACES = _random.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,7 +98,8 @@ def sketched(docs: DataFrame) -> DataFrame:
                 f1.append(int(mix64(h ^ SALT_1).sum()) if len(h) else 0)
                 f2.append(int(mix64(h ^ SALT_2).sum()) if len(h) else 0)
                 top.append(m[:TREES].tobytes())
-                small.append(mix64(m).astype(np.uint8).tobytes())
+                mixed = mix64(m)
+                small.append(mixed.astype(np.uint8).tobytes() + mixed[:TREES].astype(np.uint32).tobytes())
             new = [pa.array(n, pa.int64()), *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)), pa.array(top, pa.binary()), pa.array(small, pa.binary())]
             yield with_columns(b, dict(zip(added, new, strict=True)))
 
@@ -104,55 +107,60 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def _first_nodes(reps: DataFrame) -> DataFrame:
-    """node, cid for each tree."""
+    """node, cid, tree of each tree's first level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = mix64(np.arange(1, TREES + 1, dtype=np.uint64))
         for b in slices(batches, 4096):
             tops = np.frombuffer(b"".join(raw(b.column(1))), np.uint64).reshape(-1, TREES)
             node = mix64(tops ^ tree).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), TREES))], names=["node", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), b.num_rows))], names=["node", "cid", "tree"])
 
-    return reps.select("cid", "top").mapInArrow(run, "node long, cid long")
+    return reps.select("cid", "top").mapInArrow(run, "node long, cid long, tree int")
 
 
 def _branches(rows: DataFrame, level: int) -> DataFrame:
-    """Child nodes on two further minwise tokens: parent, parent_n, node, cid, bytes."""
+    """Child nodes on a further minwise token, which the node chooses: parent, parent_n, node, cid, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             node = b.column(0).to_numpy().view(np.uint64)
-            own = np.frombuffer(b"".join(raw(b.column(3))), np.uint8).reshape(-1, COORDINATES)
-            for k in (0, 1):
-                pick = mix64(node ^ np.uint64(7919 * level + k))
-                j = (pick % np.uint64(COORDINATES)).astype(np.int64)
-                child = mix64(pick ^ own[np.arange(len(j)), j].astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(child), b.column(1), b.column(3)], names=["parent", "parent_n", "node", "cid", "bytes"])
+            own = np.frombuffer(b"".join(raw(b.column(3))), np.uint8).reshape(-1, SKETCH)
+            pick = mix64(node ^ np.uint64(7919 * level))
+            j = (pick % np.uint64(COORDINATES)).astype(np.int64)
+            child = mix64(pick ^ own[np.arange(len(j)), j].astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(child), b.column(1), b.column(3)], names=["parent", "parent_n", "node", "cid", "bytes"])
 
     return rows.select("node", "cid", "n", "bytes").mapInArrow(run, "parent long, parent_n long, node long, cid long, bytes binary")
 
 
 def leaves(ws: Workspace, reps: DataFrame, small: int = SMALL) -> DataFrame:
-    """node, cid, n (classes in the node), bytes: the nodes to compare, of two classes at least."""
-    first = ws.stage(_first_nodes(reps), "paths")
+    """node, cid, n (classes in the node), bytes, tree, mask, pivot, pivot_bytes (the node's first class): the nodes to compare, of two classes at least.
+
+    mask: the trees in which the class is in a small node from the first level on. tree: this node's, if it is one of those, else TREES.
+    """
+    first = _first_nodes(reps)
     counts = ws.stage(first.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "nodes")
-    live = ws.stage(first.join(counts, "node").join(reps.select("cid", "bytes"), "cid").select("node", "cid", "n", "bytes"), "live")
+    live = ws.stage(first.join(counts, "node").join(reps.select("cid", "bytes"), "cid").select("node", "cid", "n", "bytes", "tree"), "live")
     out = live.filter(F.col("n") <= small)
-    large = live.filter(F.col("n") > small)
+    masks = out.groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("mask"))
+    large = live.filter(F.col("n") > small).withColumn("tree", F.lit(TREES))
     for level in range(2, DEPTH + 1):
         if large.isEmpty():
-            return out
-        child = ws.stage(_branches(large, level), "branches")
+            break
+        child = _branches(large, level)
         sizes = ws.stage(child.groupBy("parent", "parent_n", "node").agg(F.count("*").alias("n")), "sizes")
-        dense = ws.stage(sizes.filter(F.col("n") >= DENSE * F.col("parent_n")).select(F.col("parent").alias("node")).distinct(), "dense")
+        dense = sizes.filter(F.col("n") >= DENSE * F.col("parent_n")).select(F.col("parent").alias("node")).distinct()
         out = out.unionByName(large.join(dense, "node", "left_semi"))
-        go_on = sizes.filter("n > 1").join(dense, sizes.parent == dense.node, "left_anti").select("parent", "node", "n")
-        rows = ws.stage(child.join(ws.stage(go_on, "next"), ["parent", "node"]).select("node", "cid", "n", "bytes"), "live")
+        go_on = sizes.filter("n > 1").join(dense.withColumnRenamed("node", "parent"), "parent", "left_anti").select("parent", "node", "n")
+        rows = ws.stage(child.join(go_on, ["parent", "node"]).select("node", "cid", "n", "bytes", F.lit(TREES).alias("tree")), "live")
         out = out.unionByName(rows.filter(F.col("n") <= small))
         large = rows.filter(F.col("n") > small)
-    return out.unionByName(large)
+    out = ws.stage(out.unionByName(large), "leaves")
+    pivots = out.groupBy("node").agg(F.min(F.struct("cid", "bytes")).alias("p")).select("node", F.col("p.cid").alias("pivot"), F.col("p.bytes").alias("pivot_bytes"))
+    return ws.stage(out.join(pivots, "node").join(masks, "cid", "left").withColumn("mask", F.coalesce("mask", F.lit(0))), "pivoted")
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
@@ -160,43 +168,48 @@ def _alike(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(raw(b.column(i))), np.uint8).reshape(-1, COORDINATES) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(raw(b.column(i))), np.uint8).reshape(-1, SKETCH)[:, :COORDINATES] for i in (2, 3))
             yield b.filter(pa.array((x == y).sum(1) >= LEAST_EQUAL)).select(["a", "b"])
 
     return pairs.select("a", "b", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long")
 
 
-def _stars(ws: Workspace, rows: DataFrame) -> DataFrame:
+def _stars(rows: DataFrame) -> DataFrame:
     """Each leaf's first class with every other."""
-    first = ws.stage(rows.groupBy("node").agg(F.min(F.struct("cid", "bytes")).alias("p")).select("node", F.col("p.cid").alias("a"), F.col("p.bytes").alias("bytes_a")), "pivots")
-    return _alike(rows.join(first, "node").filter("cid <> a").select("a", F.col("cid").alias("b"), "bytes_a", F.col("bytes").alias("bytes_b"))).distinct()
+    return _alike(rows.filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"), F.col("pivot_bytes").alias("bytes_a"), F.col("bytes").alias("bytes_b"))).distinct()
 
 
 def _crossing(ws: Workspace, rows: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
     """Pairs of a leaf with different labels, in blocks: each class unconnected with its leaf's first class against all of the leaf."""
     spark = rows.sparkSession
-    known = ws.stage(rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
-    first = known.groupBy("node").agg(F.min(F.struct("cid", "label")).alias("p")).select("node", F.col("p.label").alias("main"))
-    marked = known.join(ws.stage(first, "mains"), "node").withColumn("rest", F.col("label") != F.col("main"))
-    open_ = ws.stage(marked.groupBy("node").agg(F.count_if("rest").alias("r")).filter("r > 0"), "open")
-    both = ws.stage(marked.join(open_, "node"), "open-rows")
+    known = rows.drop("pivot_bytes").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    known = known.join(labels.select(F.col("cid").alias("pivot"), F.col("label").alias("main")), "pivot", "left")
+    marked = ws.stage(known.withColumn("rest", F.col("label") != F.coalesce("main", "pivot")).drop("main", "pivot"), "labelled")
+    both = marked.join(marked.groupBy("node").agg(F.count_if("rest").alias("r")).filter("r > 0"), "node")
     blocks, rest_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("r") / BLOCK).cast("int")
     spot = F.pmod(F.xxhash64("cid"), F.lit(1 << 30))
-    columns = ["node", "block", "rest_block", "role", "cid", "label", "bytes"]
+    columns = ["node", "block", "rest_block", "role", "cid", "label", "tree", "mask", "bytes"]
     left = both.filter("rest").withColumns({"rest_block": (spot % rest_blocks).cast("int"), "role": F.lit(0)}).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     right = both.withColumns({"block": (spot % blocks).cast("int"), "role": F.lit(1)}).withColumn("rest_block", F.explode(F.sequence(F.lit(0), rest_blocks - 1)))
     dealt = left.select(columns).unionByName(right.select(columns)).repartition(partitions(spark), "node", "block", "rest_block").sortWithinPartitions("node", "block", "rest_block", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.int32(1) << np.arange(TREES, dtype=np.int32)
         for _, t in runs_of(batches, 3):
             role, cid, label = (t.column(i).to_numpy() for i in (3, 4, 5))
-            own = np.frombuffer(b"".join(raw(t.column(6).combine_chunks())), np.uint8).reshape(-1, COORDINATES)
+            tree, mask = t.column(6)[0].as_py(), t.column(7).to_numpy()
+            both = np.frombuffer(b"".join(raw(t.column(8).combine_chunks())), np.uint8).reshape(-1, SKETCH)
+            own, tops = both[:, :COORDINATES], np.ascontiguousarray(both[:, COORDINATES:]).view(np.uint32)
             k = int((role == 0).sum())
             out_a, out_b = [], []
             for i in range(k):
                 equal = (own[k:] == own[i]).sum(1)
                 equal[label[k:] == label[i]] = 0
                 hit = np.flatnonzero(equal >= LEAST_EQUAL)
+                if len(hit):
+                    # A pair that an earlier small node holds as well is emitted there.
+                    earlier = (tops[k:][hit, :tree] == tops[i, :tree]) & ((mask[i] & bits[:tree]) != 0)
+                    hit = hit[~earlier.any(1)]
                 if best_only and len(hit):
                     hit = hit[[equal[hit].argmax()]]
                 other = cid[k:][hit]
@@ -238,13 +251,14 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     both = ws.stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = ws.stage(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label")).select(F.col("a").alias("v"), "label"), "labels")
     while True:
-        near = both.join(labels, both.a == labels.v).select(F.col("b").alias("v"), "label")
-        lower = ws.stage(near.unionByName(labels).groupBy("v").agg(F.min("label").alias("label")), "lower")
-        jump = lower.select(F.col("v").alias("label"), F.col("label").alias("root"))
-        later = ws.stage(lower.join(jump, "label").select("v", F.col("root").alias("label")), "labels")
-        if later.join(labels.withColumnRenamed("label", "old"), "v").filter("label <> old").isEmpty():
-            return later
-        labels = later
+        near = both.join(labels, both.a == labels.v).select(F.col("b").alias("v"), "label", F.lit(None).cast("long").alias("old"))
+        lower = near.unionByName(labels.withColumn("old", F.col("label"))).groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("root"))
+        later = ws.stage(lower.join(jump, "label").select("v", F.least("root", "label").alias("label"), "old"), "labels")
+        done = later.filter("label <> old").isEmpty()
+        labels = later.drop("old")
+        if done:
+            return labels
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,25 +268,21 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = ws.stage(rows.filter("_nd_n > 0").groupBy("_nd_f1", "_nd_f2").agg(F.min("_nd_id").alias("cid")), "classes")
     reps = rows.select("_nd_id", "_nd_top", "_nd_bytes").join(sets.select(F.col("cid").alias("_nd_id")), "_nd_id")
     reps = ws.stage(reps.select(F.col("_nd_id").alias("cid"), F.col("_nd_top").alias("top"), F.col("_nd_bytes").alias("bytes")), "reps")
-    nodes = ws.stage(leaves(ws, reps), "leaves")
+    nodes = leaves(ws, reps)
     need = nodes.select(F.col("cid").alias("_nd_id")).distinct()
     texts = None
     labels = tested = None
     for step in ("stars", "best", "all"):
-        pairs = _stars(ws, nodes) if step == "stars" else _crossing(ws, nodes, labels, step == "best")
+        pairs = _stars(nodes) if step == "stars" else _crossing(ws, nodes, labels, step == "best")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = ws.stage(pairs, "pairs")
         if pairs.isEmpty():
-            if step != "stars":
-                break
-            labels = pairs.select(F.col("a").alias("cid"), F.col("b").alias("label"))
-            tested = pairs
+            if step == "stars":
+                labels, tested = pairs.select(F.col("a").alias("cid"), F.col("b").alias("label")), pairs
             continue
         if texts is None:
-            if step == "stars":
-                # Classes whose sketch is close to no other of a leaf need no text; which those are is only known for stars, so keep all that share a leaf.
-                texts = ws.stage(rows.select("_nd_id", "text").join(need, "_nd_id", "left_semi").select(F.col("_nd_id").alias("cid"), "text"), "texts")
+            texts = ws.stage(rows.select("_nd_id", "text").join(need, "_nd_id", "left_semi").select(F.col("_nd_id").alias("cid"), "text"), "texts")
         judged = ws.stage(_confirmed(pairs, texts), "judged")
         tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
         links = judged.filter("linked").select("a", "b")
@@ -290,30 +300,30 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, ws.stage(found, "sets")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with _nd_* sketch columns, _nd_label (documents with equal labels are connected; null for empty sets) and component_id."""
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketched documents, and _nd_id, doc_id, _nd_n, _nd_label of those with words."""
     rows, sets = classes(docs)
-    ws = Workspace(docs.sparkSession)
-    held = rows.select("_nd_id", "_nd_n", "_nd_f1", "_nd_f2", F.col("doc_id").cast("long").alias("doc_id"))
-    member = held.filter("_nd_n > 0").join(sets, (held._nd_f1 == sets.f1) & (held._nd_f2 == sets.f2)).select("_nd_id", "doc_id", F.col("_nd_n"), "label")
-    member = ws.stage(member, "members")
-    least = ws.stage(member.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
-    out = member.join(least, "label").select("_nd_id", "doc_id", "_nd_n", F.col("label").alias("_nd_label"), "component_id")
-    return out.unionByName(held.filter("_nd_n = 0").select("_nd_id", "doc_id", "_nd_n", F.lit(None).cast("long").alias("_nd_label"), F.col("doc_id").alias("component_id")))
+    held = rows.filter("_nd_n > 0").select("_nd_id", "_nd_n", "_nd_f1", "_nd_f2", F.col("doc_id").cast("long").alias("doc_id"))
+    member = held.join(sets, (held._nd_f1 == sets.f1) & (held._nd_f2 == sets.f2)).select("_nd_id", "doc_id", "_nd_n", F.col("label").alias("_nd_label"))
+    return rows, Workspace(docs.sparkSession).stage(member, "members")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """_nd_id, doc_id, _nd_n, _nd_label (documents with equal labels are connected; null for empty sets) and component_id of every row."""
+    rows, member = _members(docs)
+    least = member.groupBy("_nd_label").agg(F.min("doc_id").alias("component_id"))
+    out = member.join(least, "_nd_label").select("_nd_id", "doc_id", "_nd_n", "_nd_label", "component_id")
+    doc_id = F.col("doc_id").cast("long")
+    return out.unionByName(rows.filter("_nd_n = 0").select("_nd_id", doc_id.alias("doc_id"), "_nd_n", F.lit(None).cast("long").alias("_nd_label"), doc_id.alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that with the smallest doc_id, nulls last; documents without words all stay."""
     columns = list(docs.columns)
-    docs = docs.withColumn("doc_id", col_or_null(docs, "doc_id", "long")).withColumn("text", col_or_null(docs, "text", "string"))
-    ws = Workspace(docs.sparkSession)
-    staged = ws.stage(docs.withColumn("_nd_row", F.monotonically_increasing_id()), "docs")
-    found = near_duplicates(staged.select(F.col("_nd_row").alias("doc_id"), "text", F.col("doc_id").alias("_nd_doc")))
-    # Here doc_id is the row's own number; the components' smallest real ids decide below.
-    named = found.select(F.col("doc_id").alias("_nd_row"), "_nd_label").join(staged.select("_nd_row", "doc_id"), "_nd_row")
-    chosen = named.filter("_nd_label is not null").groupBy("_nd_label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_nd_row")).alias("k"))
-    keep = chosen.select(F.col("k._nd_row").alias("_nd_row")).unionByName(named.filter("_nd_label is null").select("_nd_row"))
-    return staged.join(ws.stage(keep, "keep"), "_nd_row", "left_semi").select(*[f"`{c}`" for c in columns])
+    rows, member = _members(docs.withColumn("doc_id", col_or_null(docs, "doc_id", "long")).withColumn("text", col_or_null(docs, "text", "string")))
+    chosen = member.groupBy("_nd_label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_nd_id")).alias("k"))
+    keep = chosen.select(F.col("k._nd_id").alias("_nd_id")).unionByName(rows.filter("_nd_n = 0").select("_nd_id"))
+    return rows.join(Workspace(docs.sparkSession).stage(keep, "keep"), "_nd_id", "left_semi").select(*[f"`{c}`" for c in columns])
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
