@@ -203,7 +203,7 @@ def payload_filter(spark: SparkSession, sf: str) -> DataFrame:
 )
 def agent_ids(spark: SparkSession, sf: str) -> DataFrame:
     c, k = F.col("conv_id").cast("string"), F.col("conv_id") % 11
-    channel = F.when(k == 0, "Openclaw-Weixin").when(k == 1, "qqbot").when(k == 2, "telegram")
+    channel = F.when(k == 0, "Weixin").when(k == 1, "qqbot").when(k == 2, "telegram")
     sender = F.when(k == 0, F.concat(F.lit("u "), c))
     key = (
         F.when(k == 3, F.concat(F.lit("agent:main:openclaw-weixin:direct:w"), c, F.lit("@im.wechat")))
