@@ -1,8 +1,8 @@
 """MinHash near-dedup by the chosen-path set similarity join.
 
 Texts are sets of 5-word shingles. Equal sets are one class from the start. Every class enters 16 independent trees; in each it goes down a
-path of chosen minwise tokens, and classes on the same path form a node. Nodes of more than `small` classes branch again on a further
-minwise token, until they are small, or stay together although they branched (a dense group of similar sets), or reach the depth limit.
+path of chosen minwise tokens, and classes on the same path form a node. Nodes of more than `small` classes branch again on two further
+minwise tokens, until they are small, or stay together although they branched (a dense group of similar sets), or reach the depth limit.
 Leaves are compared by 128 sketch bytes, and pairs that may be similar are confirmed on the full sets of the texts:
 
 1. every class against its leaf's first class;
@@ -10,8 +10,10 @@ Leaves are compared by 128 sketch bytes, and pairs that may be similar are confi
 3. all pairs of a leaf, in blocks of at most 512 x 512, that are still unconnected.
 
 So a dense group costs a few confirmations for each class instead of all pairs, and a pair goes unconfirmed only if it is connected by others
-already. A tree misses a pair of similarity 0.75 with probability 0.25 where its nodes are small, so that all 16 miss it with less than 1e-9.
-The sketch filter asks for 73 of 128 equal bytes; a pair of similarity 0.75 has fewer with about 1e-6.
+already. A tree misses a pair of similarity 0.75 with probability 0.25 where its nodes are small. Where they branch, the pair is lost below a
+node only if both branches lose it: x = (0.25 + 0.75 x) ** 2 stays under 1/9 at any depth, so that a tree misses it with at most 1/3 and all 16
+with less than 3e-8, however large the nodes are. (With one branch it would be 1 - 0.75 ** levels a tree.) The sketch filter asks for 73 of 128
+equal bytes; a pair of similarity 0.75 has fewer with about 1e-6.
 
 Null texts and texts without words have empty sets and are linked with nothing. Repeated doc_ids are documents of their own that share an id.
 A null doc_id never is the smallest of a component; a component of null doc_ids only has a null id. Empty tables give empty results. Extra
@@ -120,7 +122,7 @@ def _first_nodes(reps: DataFrame) -> DataFrame:
 
 
 def _branches(rows: DataFrame, level: int) -> DataFrame:
-    """Child nodes on a further minwise token, which the node chooses: parent, parent_n, node, cid, bytes."""
+    """Child nodes on two further minwise tokens, which the node chooses: parent, parent_n, node, cid, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,9 +131,12 @@ def _branches(rows: DataFrame, level: int) -> DataFrame:
             node = b.column(0).to_numpy().view(np.uint64)
             own = np.frombuffer(b"".join(raw(b.column(3))), np.uint8).reshape(-1, SKETCH)
             pick = mix64(node ^ np.uint64(7919 * level))
-            j = (pick % np.uint64(COORDINATES)).astype(np.int64)
-            child = mix64(pick ^ own[np.arange(len(j)), j].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(child), b.column(1), b.column(3)], names=["parent", "parent_n", "node", "cid", "bytes"])
+            first = (pick % np.uint64(COORDINATES)).astype(np.int64)
+            # The second coordinate is never the first again, or both branches would lose the same pairs.
+            second = (first + 1 + ((pick >> np.uint64(32)) % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
+            for k, j in enumerate((first, second)):
+                child = mix64(mix64(pick + np.uint64(k)) ^ own[np.arange(len(j)), j].astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(child), b.column(1), b.column(3)], names=["parent", "parent_n", "node", "cid", "bytes"])
 
     return rows.select("node", "cid", "n", "bytes").mapInArrow(run, "parent long, parent_n long, node long, cid long, bytes binary")
 

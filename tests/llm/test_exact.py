@@ -92,6 +92,27 @@ def test_near_duplicates_in_branched_and_dense_nodes(spark, monkeypatch):
     same(out.select("doc_id", "component_id").collect(), [(i, c) for i, _, c, _ in brute.near(rows)])
 
 
+def test_near_duplicates_in_large_nodes_meet(spark):
+    """Pairs of similarity 0.75 whose common tokens are frequent ones only, so that their nodes branch over many levels, share a leaf."""
+    r = np.random.default_rng(11)
+    rows, pairs, groups, size = [], [], 50, 150
+    for g in range(groups):
+        for k in range(size + 2):
+            # A token is the group's frequent one or the class's own; the last two classes share 0.866 ** 2 of them, all frequent.
+            own = r.random(neardup.COORDINATES) >= (0.6 if k < size else 0.75**0.5)
+            m = np.where(own, r.integers(1 << 40, 1 << 62, neardup.COORDINATES), np.arange(neardup.COORDINATES) + 1000 * g).astype(np.uint64)
+            mixed = neardup.mix64(m)
+            rows.append((len(rows), m[: neardup.TREES].tobytes(), mixed.astype(np.uint8).tobytes() + mixed[: neardup.TREES].astype(np.uint32).tobytes()))
+        pairs.append((len(rows) - 2, len(rows) - 1))
+    ws = neardup.Workspace(spark)
+    leaves = neardup.leaves(ws, spark.createDataFrame(rows, "cid long, top binary, bytes binary"), 6)
+    wanted = {c for pair in pairs for c in pair}
+    held: dict[int, set[int]] = {c: set() for c in wanted}
+    for row in leaves.filter(leaves.cid.isin(list(wanted))).select("node", "cid").collect():
+        held[row.cid].add(row.node)
+    assert [p for p in pairs if not held[p[0]] & held[p[1]]] == []
+
+
 def test_keep_one(frame, docs):
     out = neardup.keep_one(frame)
     assert out.columns == frame.columns
