@@ -2,7 +2,7 @@
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. Training words stream through the
 automaton of all items, which tracks the longest suffix that occurs in any item; every occurrence of a window (10 consecutive words of an
-item, or a whole shorter item) is a hit. Spans of hits of at least `min_span` words are removed; a document whose hit share is over
+item, or a whole shorter item) is a hit. Every span of hits is removed, those of short items included; a document whose hit share is over
 `max_coverage` goes as a whole.
 
 Null or empty texts have no words and no hits. Items without words have no window. Items with equal texts all count; repeated rows are
@@ -221,8 +221,8 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
     return docs
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_span: int = 10, max_coverage: float = 0.8) -> DataFrame:
-    """docs without the spans of at least min_span hit words (or whole shorter items), and without documents hit beyond max_coverage.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
+    """docs without the spans of hit words (each holds a window or a whole shorter item), and without documents hit beyond max_coverage.
 
     A removed span reaches from its first word's first byte to its last word's last byte; the rest of the text stays byte for byte.
     """
@@ -235,7 +235,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
             for text, n, spans in zip(raw(b.column(names.index("text"))), b.column(names.index("n_words")).to_pylist(), b.column(names.index("hit_spans")).to_pylist(), strict=True):
                 pairs = list(zip(spans[::2], spans[1::2], strict=True))
                 keep.append(not pairs or sum(y - x for x, y in pairs) <= max_coverage * n)
-                pairs = [(x, y) for x, y in pairs if y - x >= min(min_span, window)]
                 if pairs and keep[-1]:
                     at = [m.span() for m in WORD.finditer(text.lower())]
                     out, last = [], 0

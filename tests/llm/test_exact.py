@@ -139,6 +139,16 @@ def test_decontaminate(spark, frame, docs, empty):
     assert decontaminate.match(empty, bench).collect() == [] and decontaminate.match(empty, bench.limit(0)).collect() == []
 
 
+def test_decontaminate_removes_whole_short_items(spark):
+    rows = [(1, "one two three SHORT-item, four five six seven"), (2, "été: 12 Naïve at the front of this text"), (3, "short of an item"), (4, "a b c d e f short item short item g h")]
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for block in (1_000_000, 5):
+        found = decontaminate.match(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_words=block)
+        assert sorted(r.doc_id for r in found.filter("size(hit_spans) > 0").collect()) == [1, 2, 4]
+    kept = {r.doc_id: r.text for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert kept == {1: "one two three , four five six seven", 2: " at the front of this text", 3: "short of an item", 4: "a b c d e f  g h"}
+
+
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=8), max_size=4), st.lists(st.sampled_from("abcd"), max_size=30), st.integers(1, 4))
 @settings(max_examples=150, deadline=None)
 def test_automaton(items, text, window):
