@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from palimpsest import schemas as S
 
 SPACE = r"[ \t\n\r\f\x0B]"
 CJK = r"[\x{4e00}-\x{9fff}]"
+#: Array of runs of Han characters to array of words.
+Segmenter = Callable[[Column], Column]
 
 
 def strip(c: Column) -> Column:
@@ -21,17 +25,20 @@ def fusion_key(summary: Column) -> Column:
     return strip(F.substring(summary, 1, 60))
 
 
-def tokens(text: Column, stop: list[str] | None = None, cjk: bool = False) -> Column:
+def tokens(text: Column, stop: list[str] | None = None, cjk: bool = False, segment: Segmenter | None = None) -> Column:
     """Lexical tokens: runs of letters, digits and underscores of two characters at least, case kept, without stop words.
 
-    With cjk, runs of Han characters also give their bigrams; word segmenters can be put in their place by the caller.
+    With cjk, runs end where Han characters meet others, and runs of Han characters give their bigrams, or what `segment` makes of the array of
+    these runs (an array of words).
     """
     stop = S.STOP_WORDS if stop is None else stop
-    runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     if cjk:
         han = F.regexp_extract_all(text, F.lit(CJK + "{2,}"), F.lit(0))
-        grams = F.flatten(F.transform(han, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
-        runs = F.concat(F.filter(runs, lambda w: ~w.rlike(CJK)), grams)
+        bigrams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
+        words = segment(han) if segment else F.flatten(F.transform(han, bigrams))
+        runs = F.concat(F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{N}}_&&[^{CJK[1:-1]}]]+"), F.lit(0)), words)
+    else:
+        runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     keep = lambda w: (F.length(w) >= 2) & ~w.isin(stop) if stop else F.length(w) >= 2
     return F.filter(runs, keep)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import tokens
+from palimpsest.functions.text import Segmenter, tokens
 from palimpsest.functions.scoring import rounded
 from palimpsest.params import DEFAULT, Params
 
@@ -30,9 +30,9 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "corpus")))
 
 
-def build(memories: DataFrame, column: str = "summary", cjk: bool = False, stop: list[str] | None = None) -> Index:
-    """Documents without tokens count in N and in the mean length. Term counts are partial-aggregated before any shuffle."""
-    docs = memories.select("pid", tokens(F.coalesce(F.col(column), F.lit("")), stop, cjk).alias("t")).withColumn("dl", F.size("t"))
+def build(memories: DataFrame, column: str = "summary", cjk: bool = True, stop: list[str] | None = None, segment: Segmenter | None = None) -> Index:
+    """A search must cut text as its index does (cjk, stop, segment). Documents without tokens count in N and in the mean length. Term counts are partial-aggregated before any shuffle."""
+    docs = memories.select("pid", tokens(F.coalesce(F.col(column), F.lit("")), stop, cjk, segment).alias("t")).withColumn("dl", F.size("t"))
     corpus = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = docs.select("pid", "dl", F.explode("t").alias("term")).groupBy("term", "pid", "dl").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -48,13 +48,13 @@ def idf(index: Index, p: Params = DEFAULT) -> DataFrame:
     return all_terms.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf0") < 0, p.bm25_idf_floor * F.col("mean")).otherwise(F.col("idf0")).alias("idf"))
 
 
-def search(queries: DataFrame, index: Index, k: int | None = None, p: Params = DEFAULT, floor: float | None = None, cjk: bool = False, stop: list[str] | None = None) -> DataFrame:
+def search(queries: DataFrame, index: Index, k: int | None = None, p: Params = DEFAULT, floor: float | None = None, cjk: bool = True, stop: list[str] | None = None, segment: Segmenter | None = None) -> DataFrame:
     """query_id, pid, raw, norm_score, rank. A term repeated in a query counts each time. Scores of 0 and below go.
 
     Only the queries' terms leave the postings: the term join comes before scores are made.
     """
     k = p.bm25_top_k if k is None else k
-    asked = queries.select("query_id", F.explode(tokens(F.coalesce(F.col("text"), F.lit("")), stop, cjk)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+    asked = queries.select("query_id", F.explode(tokens(F.coalesce(F.col("text"), F.lit("")), stop, cjk, segment)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     asked = asked.join(idf(index, p), "term")
     hits = index.postings.join(asked, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
     tf = F.col("tf")

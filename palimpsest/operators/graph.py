@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import schemas as S
 from palimpsest.functions import scoring as X
-from palimpsest.functions.text import sanitize_label, sanitize_predicate
+from palimpsest.functions.text import Segmenter, sanitize_label, sanitize_predicate
 from palimpsest.operators import bm25
 from palimpsest.params import DEFAULT, Params
 
@@ -56,10 +56,10 @@ def expand_paths(seeds: DataFrame, edges: DataFrame, hops: int | None = None, li
     return seen
 
 
-def entity_search(queries: DataFrame, nodes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def entity_search(queries: DataFrame, nodes: DataFrame, p: Params = DEFAULT, segment: Segmenter | None = None) -> DataFrame:
     """query_id, name, raw: node names by lexical score, one for each lower-cased name, the best few."""
-    index = bm25.build(nodes.select(F.col("name").alias("pid"), F.col("name").alias("summary")).distinct(), stop=[])
-    hits = bm25.search(queries, index, k=10 * p.entity_limit, p=p, stop=[])
+    index = bm25.build(nodes.select(F.col("name").alias("pid"), F.col("name").alias("summary")).distinct(), stop=[], segment=segment)
+    hits = bm25.search(queries, index, k=10 * p.entity_limit, p=p, stop=[], segment=segment)
     one = W.partitionBy("query_id", F.lower("pid")).orderBy(F.desc("raw"), "pid")
     hits = hits.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
     order = W.partitionBy("query_id").orderBy(F.desc("raw"), "pid")

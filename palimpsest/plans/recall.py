@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as X
-from palimpsest.functions.text import fusion_key, graph_filler
+from palimpsest.functions.text import Segmenter, fusion_key, graph_filler
 from palimpsest.operators import bm25, fusion, graph
 from palimpsest.operators.dense import dense_top_k
 from palimpsest.operators.gate import gate_reason
@@ -27,14 +27,14 @@ def dense_channel(queries: DataFrame, memories: DataFrame, p: Params = DEFAULT,
     return hits.withColumn("rank", rank).join(memories.select("pid", *ITEM), "pid").select("query_id", "pid", *ITEM, F.col("sim").alias("score"), "rank")
 
 
-def lexical_channel(queries: DataFrame, memories: DataFrame, p: Params = DEFAULT, index: bm25.Index | None = None) -> DataFrame:
-    hits = bm25.search(queries, index or bm25.build(memories), p=p)
+def lexical_channel(queries: DataFrame, memories: DataFrame, p: Params = DEFAULT, index: bm25.Index | None = None, segment: Segmenter | None = None) -> DataFrame:
+    hits = bm25.search(queries, index or bm25.build(memories, segment=segment), p=p, segment=segment)
     return hits.join(memories.select("pid", *ITEM), "pid").select("query_id", "pid", *ITEM, F.col("norm_score").alias("score"), "rank")
 
 
-def graph_names(queries: DataFrame, nodes: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def graph_names(queries: DataFrame, nodes: DataFrame, edges: DataFrame, p: Params = DEFAULT, segment: Segmenter | None = None) -> DataFrame:
     """query_id, names: entities found in the query's words and their neighbours."""
-    found = graph.entity_search(queries, nodes, p).select("query_id", "name")
+    found = graph.entity_search(queries, nodes, p, segment).select("query_id", "name")
     near = graph.expand_one(found, edges, p=p).select("query_id", F.col("dst").alias("name"))
     return found.unionByName(near).groupBy("query_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
@@ -55,23 +55,23 @@ def gated(queries: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return queries.filter(gate_reason(F.col("text"), p) == "")
 
 
-def recall(queries: DataFrame, memories: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None, p: Params = DEFAULT, algorithm: str | None = None, model: Reranker | None = None, layers: tuple[str, ...] | None = None, index: bm25.Index | None = None) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None, p: Params = DEFAULT, algorithm: str | None = None, model: Reranker | None = None, layers: tuple[str, ...] | None = None, index: bm25.Index | None = None, segment: Segmenter | None = None) -> DataFrame:
     """query_id, rank, pid, fkey, channels, sort_key, rerank_score of all queries (query_id, text, embedding) that the gate lets pass."""
     asked = gated(queries, p)
     held = memories.filter(F.col("layer").isin(*layers)) if layers else memories
-    names = graph_names(asked, nodes, edges, p) if nodes is not None and edges is not None else None
-    fused = fusion.fuse(dense_channel(asked, held, p), lexical_channel(asked, held, p, index), names, p, algorithm)
+    names = graph_names(asked, nodes, edges, p, segment) if nodes is not None and edges is not None else None
+    fused = fusion.fuse(dense_channel(asked, held, p), lexical_channel(asked, held, p, index, segment), names, p, algorithm)
     if names is not None:
         fused = fusion.graph_boosted(fused, names, p)
     out = rerank(fusion.top(fused, p.fused_top_k), model, p)
     return out.select("query_id", "rank", "pid", "fkey", "channels", "sort_key", "rerank_score")
 
 
-def legacy_recall(queries: DataFrame, memories: DataFrame, nodes: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def legacy_recall(queries: DataFrame, memories: DataFrame, nodes: DataFrame, edges: DataFrame, p: Params = DEFAULT, segment: Segmenter | None = None) -> DataFrame:
     """query_id, summary key, channels, score: reciprocal ranks of the dense, lexical and graph channels by whole summary."""
     vec = dense_channel(queries, memories, p.with_(vec_floor=min(p.vec_floor, p.legacy_vec_floor)))
-    lex = lexical_channel(queries, memories, p)
-    found = graph.entity_search(queries, nodes, p).select("query_id", "name")
+    lex = lexical_channel(queries, memories, p, segment=segment)
+    found = graph.entity_search(queries, nodes, p, segment).select("query_id", "name")
     near = graph.expand_one(found, edges, p=p).filter(graph_filler(F.col("summary")))
     near = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("src", "n")))
     return fusion.rrf_n({"vec": vec, "bm25": lex, "graph": near.select("query_id", "summary", "rank")}, p)

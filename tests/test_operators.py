@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import streaming
-from palimpsest.operators import clusters, dense, fusion, graph, writes
+from palimpsest.operators import bm25, clusters, dense, fusion, graph, writes
 from palimpsest.params import DEFAULT
 from palimpsest.plans import recall
 from palimpsest.sources import files
@@ -59,6 +59,19 @@ def test_recall_gates_and_degrades(spark):
     assert recall.recall(q, mem, p=DEFAULT.with_(rerank_floor=0.1), layers=("L2",)).filter("channels = 'vec'").count() == 0
 
 
+def test_chinese_queries_meet_chinese_records(spark):
+    texts = {"1": "我们在北京的家里吃饭", "2": "使用Qdrant向量数据库检索记忆", "3": "walks in the park", "4": "周末去爬山看日出", "5": "talks about rivers"}
+    mem = spark.createDataFrame([(k, "L1", v, 0.5, None, [], None) for k, v in texts.items()], "pid string, layer string, summary string, importance double, ts timestamp, entities array<string>, embedding array<float>")
+    q = spark.createDataFrame([(1, "上次在北京吃饭是什么时候", [1.0]), (2, "Qdrant是什么", [1.0]), (3, "检索数据库的记忆", [1.0]), (4, "who walks there", [1.0])], "query_id int, text string, embedding array<float>")
+    assert {(r.query_id, r.pid) for r in bm25.search(q, bm25.build(mem)).collect()} == {(1, "1"), (2, "2"), (3, "2"), (4, "3")}
+    assert {(r.query_id, r.pid) for r in recall.recall(q, mem, p=DEFAULT.with_(rerank_floor=0.0)).collect()} >= {(1, "1"), (3, "2"), (4, "3")}
+    nodes = spark.createDataFrame([("北京大学", "Place"), ("Qdrant数据库", "Tool"), ("上海", "Place"), ("Berlin", "Place")], "name string, label string")
+    assert {(r.query_id, r.name) for r in graph.entity_search(q, nodes).collect()} == {(1, "北京大学"), (2, "Qdrant数据库"), (3, "Qdrant数据库")}
+    whole = lambda runs: F.filter(F.array(F.lit("北京"), F.lit("吃饭")), lambda w: F.exists(runs, lambda r: F.contains(r, w)))
+    assert {r.term for r in bm25.build(mem, segment=whole).terms.collect()} >= {"北京", "吃饭", "Qdrant"} and not bm25.build(mem, segment=whole).terms.filter("term = '数据'").count()
+    assert {(r.query_id, r.pid) for r in bm25.search(q, bm25.build(mem, segment=whole), segment=whole).collect()} == {(1, "1"), (2, "2"), (4, "3")}
+
+
 def test_dense_exactness_and_blocks(spark, monkeypatch):
     import numpy as np
 
