@@ -43,6 +43,11 @@ def tokens(text: Column, stop: list[str] | None = None, cjk: bool = False, segme
     return F.filter(runs, keep)
 
 
+def grams(text: Column, n: int) -> Column:
+    """Distinct substrings of n characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def graph_tokens(text: Column) -> Column:
     """Distinct tokens for matching names: words, and windows of two to four Han characters."""
     parts = [F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import schemas as S
 from palimpsest.functions import scoring as X
-from palimpsest.functions.text import Segmenter, sanitize_label, sanitize_predicate
+from palimpsest.functions.text import Segmenter, grams, sanitize_label, sanitize_predicate
 from palimpsest.operators import bm25
 from palimpsest.params import DEFAULT, Params
 
@@ -66,20 +66,29 @@ def entity_search(queries: DataFrame, nodes: DataFrame, p: Params = DEFAULT, seg
     return hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.entity_limit).select("query_id", F.col("pid").alias("name"), "raw", "n")
 
 
-def resolve_alias(names: DataFrame, nodes: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """name, alias, score: the best node that equals the name whatever the case (1.0) or contains it or is contained (0.7), if it differs.
+def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """inner, outer: all pairs of rows (inner) and rows (outer) where the outer string contains the inner one; empty strings meet nothing.
 
-    Equality is an equi-join. Containment meets on a shared word of two characters at least instead of comparing all pairs, which is the same
-    for names that contain each other at word borders.
+    A string of three characters or more meets on that of its three-character substrings which the fewest outer strings have, a shorter one on
+    itself, so that no pair is missed and few are compared in vain.
     """
-    words = lambda df, col: df.withColumn("_w", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))))
-    asked = names.select("name").distinct().filter(F.length(F.trim("name")) >= 2)
-    known = nodes.select(F.col("name").alias("alias")).distinct()
-    met = words(asked, "name").join(words(known, "alias"), "_w").select("name", "alias").distinct()
-    a, b = F.lower("name"), F.lower("alias")
-    score = F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.7).otherwise(0.0)
+    held = outer.select("outer").distinct().select("outer", F.explode(F.concat(*(grams(F.col("outer"), n) for n in (1, 2, 3)))).alias("_g"))
+    asked = inner.select("inner").distinct().filter("inner <> ''")
+    own = asked.select("inner", F.explode(F.when(F.length("inner") >= 3, grams(F.col("inner"), 3)).otherwise(F.array("inner"))).alias("_g"))
+    spread = own.join(held.groupBy("_g").agg(F.count("*").alias("n")), "_g", "left")
+    rarest = spread.groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_g")).alias("k")).filter("k.n > 0")
+    return rarest.select("inner", F.col("k._g").alias("_g")).join(held, "_g").filter(F.contains("outer", "inner")).select("inner", "outer")
+
+
+def resolve_alias(names: DataFrame, nodes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """name, alias, score: the best node that equals the name whatever the case (1.0) or contains it or is contained (0.7), if it differs."""
+    asked = names.select("name", F.lower("name").alias("a")).distinct().filter(F.length(F.trim("name")) >= 2)
+    known = nodes.select(F.col("name").alias("alias"), F.lower("name").alias("b")).distinct()
+    wider = containing(asked.select(F.col("a").alias("inner")), known.select(F.col("b").alias("outer"))).select(F.col("inner").alias("a"), F.col("outer").alias("b"))
+    narrower = containing(known.select(F.col("b").alias("inner")), asked.select(F.col("a").alias("outer"))).select(F.col("outer").alias("a"), F.col("inner").alias("b"))
+    met = wider.union(narrower).distinct().join(asked, "a").join(known, "b")
     best = W.partitionBy("name").orderBy(F.desc("score"), "alias")
-    out = met.withColumn("score", score).filter(F.col("score") >= p.alias_floor).withColumn("_n", F.row_number().over(best)).filter("_n = 1")
+    out = met.withColumn("score", F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.7)).filter(F.col("score") >= p.alias_floor).withColumn("_n", F.row_number().over(best)).filter("_n = 1")
     return out.filter("name <> alias").select("name", "alias", "score")
 
 

@@ -80,13 +80,12 @@ def legacy_recall(queries: DataFrame, memories: DataFrame, nodes: DataFrame, edg
 def prf_expanded(queries: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
     """query_id, text: the query with up to three summaries of edges one of whose ends it names.
 
-    Names meet the query on their first word instead of by comparing all pairs; then the whole name must occur.
+    A name meets every query that contains it, whatever stands around it.
     """
     e = edges.filter(graph.active()).withColumn("summary", graph.edge_summary())
-    ends = e.select(F.explode(F.array("subj", "obj")).alias("name"), "summary").distinct()
-    ends = ends.withColumn("_w", F.element_at(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), 1))
-    words = queries.select("query_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("_w"))
-    hit = words.join(ends, "_w").filter(F.contains(F.lower("text"), F.lower("name"))).select("query_id", "summary").distinct()
+    ends = e.select(F.explode(F.array("subj", "obj")).alias("name"), "summary").distinct().withColumn("inner", F.lower("name"))
+    asked = queries.select("query_id", F.lower("text").alias("outer"))
+    hit = graph.containing(ends.select("inner"), asked.select("outer")).join(asked, "outer").join(ends, "inner").select("query_id", "summary").distinct()
     hit = hit.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("summary"))).filter(F.col("n") <= most)
     added = hit.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "summary"))), lambda x: x["summary"]), " ").alias("added"))
     return queries.join(added, "query_id", "left").withColumn("text", F.concat_ws(" ", "text", "added")).drop("added")

@@ -72,6 +72,23 @@ def test_chinese_queries_meet_chinese_records(spark):
     assert {(r.query_id, r.pid) for r in bm25.search(q, bm25.build(mem, segment=whole), segment=whole).collect()} == {(1, "1"), (2, "2"), (4, "3")}
 
 
+def test_names_meet_inside_words(spark):
+    known = ["北京市", "postgresql", "Smithson", "red", "x", "The Red House", "", "...net", "(beta) tool"]
+    asked = ["北京", "Postgres", "smith", "shared", "house", "max", "nothing", "中", "(BETA) tool", "Berlin.. ...NET core"]
+    low = lambda a, b: 1.0 if a.lower() == b.lower() else 0.7 if b and (a.lower() in b.lower() or b.lower() in a.lower()) else 0.0
+    want = {}
+    for a in asked:
+        best = min(((-low(a, b), b) for b in known if low(a, b) >= 0.7), default=None)
+        if len(a) >= 2 and best and best[1] != a:
+            want[a] = (best[1], -best[0])
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    assert {r.name: (r.alias, r.score) for r in graph.resolve_alias(frame(asked), frame(known)).collect()} == want and len(want) == 8
+    edges = spark.createDataFrame([(n, "KNOWS", "zzz", None, f"about {n}") for n in known if n], "subj string, pred string, obj string, status string, ko_summary string")
+    texts = ["我住在北京市", "use Postgresql16 (beta) tools", "the ...net core", "nothing"]
+    got = {r.text for r in recall.prf_expanded(spark.createDataFrame(list(enumerate(texts)), "query_id int, text string"), edges).collect()}
+    assert got == {"我住在北京市 about 北京市", "use Postgresql16 (beta) tools about (beta) tool about postgresql", "the ...net core about ...net", "nothing"}
+
+
 def test_dense_exactness_and_blocks(spark, monkeypatch):
     import numpy as np
 
