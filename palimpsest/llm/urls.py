@@ -63,7 +63,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(ws: Workspace, seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, epsilon: float) -> DataFrame:
-    """host, score: personalised PageRank by power iteration, scaled so that a host without links keeps its seed. Each round is written."""
+    """host, score: personalised PageRank by power iteration, scaled so that a host without links keeps its seed. Each round is written.
+
+    Rounds go on until no score moves by epsilon; that it still does after `rounds` of them is an error.
+    """
     share = edges.groupBy("src").agg(F.sum("n").alias("out"))
     edges = ws.stage(edges.join(share, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("p")), "edges")
     now = seeds
@@ -75,11 +78,11 @@ def spread(ws: Workspace, seeds: DataFrame, edges: DataFrame, damping: float, ro
         moved = later.alias("a").join(now.alias("b"), "host", "left").agg(F.max(F.abs(F.col("a.score") - F.coalesce("b.score", F.lit(0.0))))).first()[0]
         now = later
         if (moved or 0) < epsilon:
-            break
-    return now
+            return now
+    raise RuntimeError(f"scores still move by {moved} after {rounds} rounds")
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 20, epsilon: float = 1e-6, margin: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 1_000, epsilon: float = 1e-6, margin: float = 0.5) -> DataFrame:
     """pages with host, path, rule, trust, distrust and verdict."""
     ws = Workspace(pages.sparkSession)
     host, path = split_url(col_or_null(pages, "url", "string"))

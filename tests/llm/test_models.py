@@ -134,6 +134,15 @@ def test_urls(spark):
     assert urls.judge(df).count() == 14 and urls.judge(df.limit(0)).collect() == []
 
 
+def test_scores_of_a_link_cycle_converge(spark):
+    pages = [(1, "http://bad.net/es/", '<a href="http://liar.org/p">a</a>'), (2, "http://liar.org/p", '<a href="http://bad.net/x">a</a>')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r.distrust for r in urls.judge(df).collect()}
+    assert got == pytest.approx({"bad.net": 1 / (1 - 0.85**2), "liar.org": 0.85 / (1 - 0.85**2)}, abs=1e-4)
+    with pytest.raises(RuntimeError, match="still move"):
+        urls.judge(df, rounds=3)
+
+
 def test_pipeline(spark, tmp_path):
     """The stages one after another on a small corpus, checked against what each must do."""
     import corpus_pipeline
