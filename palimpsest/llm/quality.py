@@ -164,8 +164,8 @@ def train(docs: DataFrame, max_train: int = 12_000) -> tuple[dict[str, float], f
             out = [o for o in out if o[0]]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.float32()))], names=["votes", "at", "v"])
 
-    # Texts of least hash: first the hashes alone, then the few texts below the last of them.
-    hashed = docs.select(F.xxhash64("text").alias("h"))
+    # Texts of least hash: first the hashes alone, each once however many copies there are, then the few texts below the last of them.
+    hashed = docs.select(F.xxhash64("text").alias("h")).distinct()
     last = hashed.orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
     if last is None:
         return posterior, prior, np.zeros(SIZE, np.float32)

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing, quality, toxicity, urls
 
@@ -104,6 +105,15 @@ def test_quality(spark, frame, empty):
     assert quality.classify(empty).collect() == []
 
 
+def test_quality_trains_on_different_texts(spark, monkeypatch):
+    texts = [f"text number {k} has a few words of its own and ends here." for k in range(40)]
+    least = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text")).first().text
+    sizes, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, target: sizes.append(len(rows)) or fit(rows, target))
+    quality.train(spark.createDataFrame([(t,) for t in texts + [least] * 30], "text string"), max_train=20)
+    assert sizes == [20]
+
+
 def test_estimate_recovers_accuracies():
     r = np.random.default_rng(3)
     truth = r.random(20_000) < 0.8
