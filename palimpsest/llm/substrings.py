@@ -4,16 +4,20 @@ Sorting all suffixes of a corpus would move many times its size. Suffixes are sp
 anchor, the leftmost 32-byte string of least hash in it. Equal windows have equal anchors at equal distances, so windows need comparing only
 within anchors of equal 32 bytes. Consecutive windows with one anchor form a segment (up to 368 bytes).
 
-1. Anchors whose leading 32 bytes occur once are done: nothing in their windows repeats.
-2. A segment that occurs twice repeats as a whole.
-3. The other segments (one of each kind) are range-partitioned by their anchor's leading bytes with sampled splitters. A bucket sorts its windows
-   as suffixes by multikey quicksort over 8-byte keys, all ties of a depth refined at once; ties that reach 200 bytes repeat.
-4. An anchor with more kinds of segments than a task should hold (a passage of a third of all documents) spans many buckets: its windows are
-   dealt by a 128-bit fingerprint of all 200 bytes and counted, which compares over all boundaries at once.
-
-Null texts count as empty. Texts shorter than the length stay. Every row is a text of its own, whatever its doc_id; matches never cross rows.
-Empty tables give empty results. Only doc_id and text are read by the query; `dedup_substrings` passes extra columns through and replaces columns
-named like its outputs; columns beginning with `_sd_` are reserved. Cutting bytes can split a character: `kept` has the exact bytes, `text` drops broken characters.
+1. Anchors whose 32 bytes occur once are done: nothing in their windows repeats.
+2. A segment that occurs twice repeats as a whole (equal by two 64-bit hashes, of the anchor and of the segment).
+3. The other segments, one of each kind, are range-partitioned by their anchors' leading bytes with sampled splitters (eight bytes, then the anchor's
+   hash, so that a range never ends within one anchor and neighbouring buckets share no suffix group: nothing is left to compare over a
+   boundary). A bucket sorts its windows as suffixes on one 8-byte key after the other, the way multikey quicksort does, all ties of a depth at
+   once; ties that reach 200 bytes repeat.
+4. An anchor with more kinds of segments than a task should hold (a passage of a third of all documents) is split by more bytes: its segments
+   are cut again by longer anchors (each takes half of what is left of the length: 116, 158, ... up to whole windows) and go through steps 1 to 3.
+   A segment is cut into a few pieces, not into windows.
+
+Null texts count as empty. Texts shorter than the length stay; texts of any length are read whole, in pieces of 512 KB that overlap. Every row is a
+text of its own, whatever its doc_id; matches never cross rows. Empty tables give empty results. `length` is 8 to 4,096. Only doc_id and text are
+read by the query; `dedup_substrings` passes extra columns through and replaces columns named like its outputs; columns beginning with `_sd_` are
+reserved. Cutting bytes can split a character: `kept` has the exact bytes, `text` drops broken characters.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import Workspace, col_or_null, mix64, partitions, raw, runs_of, schema_with, slices, with_columns
 
 HEAD, PIECE, MOST_KINDS = 32, 1 << 19, 512
+SPOT = (1 << 12) - 1
 _random = np.random.default_rng(20240301)
 BYTES = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -40,7 +45,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers:
-        size = PIECE + 1024
+        size = PIECE + 4200
         with np.errstate(over="ignore"):
             for name, factor in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
                 steps = np.full(size + 1, factor, np.uint64)
@@ -50,7 +55,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rolling(x: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k-byte string of x (at most PIECE + 1023 bytes)."""
+    """A 64-bit hash of each k-byte string of x (at most PIECE + 4,095 bytes)."""
     up, down = powers(len(x))
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[x] * up, dtype=np.uint64)))
@@ -65,32 +70,37 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(keys) - width + 1], m[width - span : len(keys) - span + 1])
 
 
-def segments(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each stretch of windows with one anchor: first and last window start, anchor, hash of the anchor's leading bytes."""
+def segments(data: bytes, length: int, head: int = HEAD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each stretch of windows with one anchor of `head` bytes: first and last window start, anchor, hash of the anchor."""
     low = np.uint64((1 << 20) - 1)
     for at in range(0, len(data) - length + 1, PIECE):
         x = np.frombuffer(data, np.uint8, min(PIECE + length - 1, len(data) - at), at)
-        h = rolling(x, HEAD)
-        best = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - HEAD + 1)
+        h = rolling(x, head)
+        best = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - head + 1)
         where = (best & low).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1))
         last = np.append(first[1:] - 1, len(where) - 1)
         yield first + at, last + at, where[first] + at, h[where[first]]
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """head, kind (hash of the whole segment), _sd_id, spot (first window, count of further windows, anchor's distance)."""
+def _spot(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """First window, count of further windows and the anchor's distance in one number."""
+    return (first << 24) | ((last - first) << 12) | (anchor - first)
+
+
+def _anchors(docs: DataFrame, length: int, head: int) -> DataFrame:
+    """head, kind (hash of the whole segment), _sd_id, spot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for i, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
                 view = memoryview(text or b"")
-                for first, last, anchor, head in segments(text or b"", length):
-                    out[0].append(head)
+                for first, last, anchor, h in segments(text or b"", length, head):
+                    out[0].append(h)
                     out[1].append(np.fromiter((xxhash.xxh3_64_intdigest(view[f : z + length]) for f, z in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first)))
                     out[2].append(np.full(len(first), i, np.int64))
-                    out[3].append((first << 16) | ((last - first) << 8) | (anchor - first).clip(0, 255))
+                    out[3].append(_spot(first, last, anchor))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in out], names=["head", "kind", "_sd_id", "spot"])
 
@@ -117,20 +127,34 @@ def multikey_ties(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
     return tied
 
 
+SEGMENT = "lead long, head long, kind long, want int, _sd_id long, spot long, segment binary"
+
+
+def _lead(segment: bytes, distance: int) -> int:
+    """The anchor's first eight bytes, as a number in their order."""
+    return int.from_bytes(segment[distance : distance + 8].ljust(8, b"\0"), "big") - (1 << 63)
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in SEGMENT.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(list(zip(*out, strict=True)) or [()] * 7, kinds, strict=True)], names=names)
+
+
 def _within_buckets(texts: DataFrame, length: int) -> DataFrame:
-    """_sd_id, lo, hi of rows (head, kind, want, _sd_id, spot, segment) sorted by head: wanted segments' repeating stretches."""
+    """_sd_id, lo, hi: wanted segments' repeating stretches. texts: SEGMENT rows, range-partitioned and sorted by lead, head."""
     pad = -length % 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in runs_of(batches, 1):
+        for _, t in runs_of(batches, 2):
             want, ids, spots = (t.column(c).to_numpy() for c in ("want", "_sd_id", "spot"))
             parts, distance, of, start = [], [], [], []
             for k, segment in enumerate(raw(t.column("segment").combine_chunks())):
                 w = np.lib.stride_tricks.sliding_window_view(np.frombuffer(segment, np.uint8), length)
                 parts.append(w)
-                distance.append((spots[k] & 255) - np.arange(len(w)))
+                distance.append((spots[k] & SPOT) - np.arange(len(w)))
                 of.append(np.full(len(w), k))
-                start.append((spots[k] >> 16) + np.arange(len(w)))
+                start.append((spots[k] >> 24) + np.arange(len(w)))
             rows = np.concatenate(parts)
             rows = np.pad(rows, ((0, 0), (0, pad))) if pad else rows
             of, start = np.concatenate(of), np.concatenate(start)
@@ -145,65 +169,87 @@ def _within_buckets(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "_sd_id long, lo long, hi long")
 
 
-def _prints(texts: DataFrame, length: int) -> DataFrame:
-    """f1, f2, want, _sd_id, lo of each window of rows (head, kind, want, _sd_id, spot, segment)."""
+def _cut_out(held: DataFrame, length: int) -> DataFrame:
+    """SEGMENT rows of rows (text, list of kinds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1024):
-            f, want, ids, start = [], [], [], []
-            for w, i, spot, segment in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("want", "_sd_id", "spot")), raw(b.column(b.schema.names.index("segment"))), strict=True):
-                view = memoryview(segment)
-                n = len(segment) - length + 1
-                f += [xxhash.xxh3_128_digest(view[k : k + length]) for k in range(n)]
-                want += [w] * n
-                ids += [i] * n
-                start += range(spot >> 16, (spot >> 16) + n)
-            both = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(want, pa.int32()), pa.array(ids, pa.int64()), pa.array(start, pa.int64())], names=["f1", "f2", "want", "_sd_id", "lo"])
+        for b in slices(batches, 512):
+            out = []
+            for i, text, kinds in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2).to_pylist(), strict=True):
+                for k in kinds:
+                    lo, more = k["spot"] >> 24, k["spot"] >> 12 & SPOT
+                    segment = text[lo : lo + more + length]
+                    out.append((_lead(segment, k["spot"] & SPOT), k["head"], k["kind"], k["want"], i, k["spot"], segment))
+            yield _rows(out)
 
-    return texts.mapInArrow(run, "f1 long, f2 long, want int, _sd_id long, lo long")
+    return held.mapInArrow(run, SEGMENT)
 
 
-def _cut_out(held: DataFrame, length: int) -> DataFrame:
-    """The segments' bytes of rows (text, list of kinds)."""
+def _cut_again(rows: DataFrame, length: int, head: int) -> DataFrame:
+    """SEGMENT rows cut into pieces by longer anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 512):
-            out: dict[str, list] = {k: [] for k in ("head", "kind", "want", "kinds", "_sd_id", "spot", "segment")}
-            for i, text, kinds in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2).to_pylist(), strict=True):
-                for k in kinds:
-                    lo, more = k["spot"] >> 16, k["spot"] >> 8 & 255
-                    for name in ("head", "kind", "want", "kinds", "spot"):
-                        out[name].append(k[name])
-                    out["_sd_id"].append(i)
-                    out["segment"].append(text[lo : lo + more + length])
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+        for b in slices(batches, 1024):
+            out = []
+            for want, i, spot, segment in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("want", "_sd_id", "spot", "segment")), strict=True):
+                for first, last, anchor, h in segments(segment, length, head):
+                    for f, z, at, code in zip(first.tolist(), last.tolist(), anchor.tolist(), h.view(np.int64).tolist(), strict=True):
+                        piece = segment[f : z + length]
+                        kind = xxhash.xxh3_64_intdigest(piece) - (1 << 63)
+                        out.append((_lead(piece, at - f), code, kind, want, i, ((spot >> 24) + f) << 24 | (z - f) << 12 | (at - f), piece))
+            yield _rows(out)
 
-    return held.mapInArrow(run, "head long, kind long, want int, kinds long, _sd_id long, spot long, segment binary")
+    return rows.mapInArrow(run, SEGMENT)
+
+
+def _whole(rows: DataFrame, length: int) -> DataFrame:
+    """_sd_id, lo, hi of whole segments."""
+    lo = F.shiftright("spot", 24)
+    return rows.select("_sd_id", lo.alias("lo"), (lo + F.shiftright("spot", 12).bitwiseAND(SPOT) + length).alias("hi"))
+
+
+def _mixed(kinds: DataFrame) -> DataFrame:
+    """head, kinds of anchors with several kinds of segments (head, kind, n), one of them at least that occurs once only."""
+    return kinds.groupBy("head").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("head", "kinds")
 
 
 def repeats(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
     """_sd_id, lo, hi: byte ranges (overlapping) of docs (_sd_id, text) that are covered by repeating strings."""
-    anchors = ws.stage(_anchors(docs, length), "anchors")
+    head = min(HEAD, length)
+    anchors = ws.stage(_anchors(docs, length, head), "anchors")
     heads = ws.stage(anchors.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head"), "heads")
     live = ws.stage(anchors.join(heads, "head", "left_semi"), "live")
-    ws.drop(anchors)
+    ws.drop(anchors, heads)
     kinds = ws.stage(live.groupBy("head", "kind").agg(F.count("*").alias("n"), F.min(F.struct("_sd_id", "spot")).alias("at")), "kinds")
-    whole = live.join(kinds.filter("n > 1").select("head", "kind"), ["head", "kind"], "left_semi")
-    cover = [whole.select("_sd_id", F.shiftright("spot", 16).alias("lo"), (F.shiftright("spot", 16) + F.shiftright("spot", 8).bitwiseAND(255) + length).alias("hi"))]
-
-    mixed = ws.stage(kinds.groupBy("head").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("head", "kinds"), "mixed")
-    chosen = kinds.join(mixed, "head").select(F.col("at._sd_id").alias("_sd_id"), F.struct("head", "kind", (F.col("n") == 1).cast("int").alias("want"), "kinds", F.col("at.spot").alias("spot")).alias("k"))
+    cover = [ws.stage(_whole(live.join(kinds.filter("n > 1").select("head", "kind"), ["head", "kind"], "left_semi"), length), "whole")]
+    ws.drop(live)
+    mixed = ws.stage(_mixed(kinds), "mixed")
+    chosen = kinds.join(mixed, "head").select(F.col("at._sd_id").alias("_sd_id"), F.struct("head", "kind", (F.col("n") == 1).cast("int").alias("want"), F.col("at.spot").alias("spot")).alias("k"))
     wanted = chosen.groupBy("_sd_id").agg(F.collect_list("k").alias("k"))
-    cut = ws.stage(_cut_out(docs.select("_sd_id", "text").join(wanted, "_sd_id").select("_sd_id", "text", "k"), length), "segments")
-    columns = ["head", "kind", "want", "_sd_id", "spot", "segment"]
-    ranged = cut.filter(F.col("kinds") <= MOST_KINDS).select(columns).repartitionByRange(partitions(docs.sparkSession), "head").sortWithinPartitions("head")
-    cover.append(_within_buckets(ranged, length))
-    prints = ws.stage(_prints(cut.filter(F.col("kinds") > MOST_KINDS).select(columns), length), "prints")
-    twice = ws.stage(prints.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.max("want").alias("w")).filter("n > 1 and w = 1").select("f1", "f2"), "twice")
-    cover.append(prints.filter("want = 1").join(twice, ["f1", "f2"], "left_semi").select("_sd_id", "lo", (F.col("lo") + length).alias("hi")))
-    return cover[0].unionByName(cover[1]).unionByName(cover[2])
+    rows = ws.stage(_cut_out(docs.select("_sd_id", "text").join(wanted, "_sd_id").select("_sd_id", "text", "k"), length), "segments")
+    ws.drop(kinds)
+    while True:
+        few = rows.join(mixed.filter(F.col("kinds") <= MOST_KINDS), "head", "left_semi").select(*[c.split()[0] for c in SEGMENT.split(", ")])
+        ranged = few.repartitionByRange(partitions(docs.sparkSession), "lead", "head").sortWithinPartitions("lead", "head")
+        cover.append(ws.stage(_within_buckets(ranged, length), "within"))
+        many = mixed.filter(F.col("kinds") > MOST_KINDS)
+        if head == length or many.isEmpty():
+            break
+        head += max(1, (length - head) // 2)
+        pieces = ws.stage(_cut_again(rows.join(many, "head", "left_semi"), length, head), "pieces")
+        ws.drop(rows, mixed)
+        kinds = ws.stage(pieces.groupBy("head", "kind").agg(F.count("*").alias("n"), F.min(F.struct("_sd_id", "spot")).alias("at")), "kinds")
+        cover.append(ws.stage(_whole(pieces.filter("want = 1").join(kinds.filter("n > 1").select("head", "kind"), ["head", "kind"], "left_semi"), length), "whole"))
+        mixed = ws.stage(_mixed(kinds), "mixed")
+        one = kinds.join(mixed, "head", "left_semi").select("head", "kind", F.col("at._sd_id").alias("_sd_id"), F.col("at.spot").alias("spot"), "n")
+        rows = pieces.join(one, ["head", "kind", "_sd_id", "spot"]).withColumn("want", F.when(F.col("n") == 1, F.col("want")).otherwise(0))
+        rows = ws.stage(rows.select(*[c.split()[0] for c in SEGMENT.split(", ")]), "segments")
+        ws.drop(pieces, kinds)
+    ws.drop(rows, mixed)
+    out = cover[0]
+    for other in cover[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True) -> DataFrame:
@@ -211,13 +257,16 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True)
 
     The documents are written once, bucketed by row: both reads that need texts together with other rows' findings shuffle no text.
     """
+    if not 8 <= length <= SPOT + 1:
+        raise ValueError(f"length must be 8 to {SPOT + 1}")
     spark = docs.sparkSession
-    ws, name, buckets = Workspace(spark), f"palimpsest_texts_{uuid.uuid4().hex}", partitions(spark)
+    ws, buckets = Workspace(spark), partitions(spark)
+    name = ws.table(f"palimpsest_texts_{uuid.uuid4().hex}")
     held = docs.withColumn("doc_id", col_or_null(docs, "doc_id", "long")).withColumn("text", col_or_null(docs, "text", "string"))
     held = held.withColumn("_sd_id", F.monotonically_increasing_id())
     held.repartition(buckets, "_sd_id").write.format("parquet").option("compression", "zstd").bucketBy(buckets, "_sd_id").saveAsTable(name)
     table = spark.table(name)
-    found = ws.stage(repeats(ws, table, length), "repeats")
+    found = repeats(ws, table, length)
     per_doc = found.groupBy("_sd_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_sd_cover"))
     joined = table.join(per_doc, "_sd_id", "left")
     added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if keep_text else {})
@@ -246,7 +295,11 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True)
                 new["text"] = pa.array([k.decode("utf-8", "ignore") for k in out[4]], pa.string())
             yield with_columns(b.select(keep), new)
 
-    return joined.mapInArrow(run, schema_with(joined.select(*[f"`{c}`" for c in keep]), **added))
+    out = joined.mapInArrow(run, schema_with(joined.select(*[f"`{c}`" for c in keep]), **added))
+    if not keep_text:
+        out = ws.stage(out, "digests")
+        ws.drop_table(name)
+    return out
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
