@@ -11,6 +11,7 @@ from palimpsest.llm.lines import op1_line_dedup
 from palimpsest.llm.media import op10_media_columns
 from palimpsest.llm.mixing import op2_mixing
 from palimpsest.llm.neardup import op7_near_dedup
+from palimpsest.llm.oracles import sql
 from palimpsest.llm.quality import op4_quality
 from palimpsest.llm.substrings import op6_suffix_dedup
 from palimpsest.llm.tokens import op5_token_output
@@ -35,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql()
