@@ -7,9 +7,10 @@ lexicon, the trees and the calibration; label, language, source and doc_id are n
 Training rows are bounded: at most `max_train` labelled rows, those with the smallest hash of doc_id, none of them held out (crc32 of the
 doc_id as text, modulo 5, equal to 0). Everything else runs over all rows.
 
-Null and empty texts score like any text without words. A doc_id that is null is never a training row and counts as held out by the crc32
+Null and empty texts score like any text without words; texts of any length are read whole. A doc_id that is null is never a training row and counts as held out by the crc32
 of an empty string. Repeated rows score alike; labels that repeat or disagree count once for each joined row. Without labels of both kinds
-the score is the mean label (0 where there is none). Extra columns pass through; input columns named like an output are replaced.
+the score is the mean label (0 where there is none). Extra columns pass through; `score` replaces
+input columns named like its outputs, `drop_toxic` leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -202,9 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 40_000, max_terms
     usable = fold(labels.select("doc_id", F.col("toxic").cast("int").alias("_y"))).filter("doc_id is not null and _y in (0, 1) and _fold <> 0")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(max_train)
     chosen = spark.createDataFrame([(r.doc_id, r._y, r._fold) for r in chosen.collect()], "doc_id long, _y int, _fold long")  # bounded by max_train
-    sample = Workspace(spark).stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("_y", "_fold", "text"), "sample")
+    ws = Workspace(spark)
+    sample = ws.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("_y", "_fold", "text"), "sample")
     n = {r._y: r.n for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
+        ws.close()
         return Model(Lexicon({}, {}), None, None, float(n.get(1, 0) > 0))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 40_000, max_terms
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["_y", "_fold", "x"])
 
     rows = sorted(sample.mapInArrow(features, "_y int, _fold long, x array<double>").collect())
+    ws.close()
     y, x, folds = np.array([r._y for r in rows], float), np.array([r.x for r in rows]), np.array([r._fold for r in rows])
     # Out-of-fold margins calibrate; the trees that score see all training rows.
     margin = np.zeros(len(y))
@@ -258,6 +262,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that the model does not reject."""
+    """docs that the model does not reject; all columns stay as they are, those named like a score too."""
     held = docs.select(col_or_null(docs, "doc_id", "long").alias("doc_id"), col_or_null(docs, "text", "string").alias("text"))
-    return score(docs, train(held, labels)).filter("predicted = 0").select(*[f"`{c}`" for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast(train(held, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1024):
+            yield b.filter(pa.array(shared.value.score(raw(b.column(b.schema.names.index("text")))) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
