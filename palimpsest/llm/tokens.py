@@ -4,16 +4,18 @@ Each id takes the minimum number of bits that hold the vocabulary. A file holds
 ids and starts and the byte offset of every block, so that numpy unpacks whole blocks at once and any document or range is read alone.
 
 Null texts count as empty: their document is the end id only. Documents stand in ascending doc_id order over all files, null doc_ids first;
-repeated doc_ids stand next to each other, in the order of their ids' bytes. An empty table gives no file and no rows. Only doc_id and text are
-read, so extra columns cannot clash.
+repeated doc_ids stand next to each other, in the order of their ids' bytes (of their texts' crc32 first, where a doc_id or null has rows for more
+than one file). Texts of any length are encoded whole. An empty table gives no file and no rows. Only doc_id and text are read, so extra
+columns cannot clash.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import col_or_null, raw, shared_dir, slices
+from palimpsest.llm.common import Workspace, col_or_null, partitions, raw, slices
 
 MAGIC, TRAILER = b"PALTOK1\n", struct.Struct("<QQQQB3xI8s")
 NO_ID = -(1 << 63)
@@ -126,22 +128,44 @@ class PackedReader:
             yield (None if d == NO_ID else d), ids[a - lo : b - lo]
 
 
+#: The form of tokenizer for which chunks without white space encode alone as they do in their text.
+BY_CHUNKS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def by_chunks(tokenizer) -> bool:
+    """Whether the tokenizer has that form, a BPE model without random dropout, no truncation, no padding and no added token with white space."""
+    form = json.loads(tokenizer.to_str())
+    same = all(form[k] == v for k, v in BY_CHUNKS.items()) and form["model"]["type"] == "BPE" and not form["model"]["dropout"]
+    return same and not form["truncation"] and not form["padding"] and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in form["added_tokens"])
+
+
 class Encoder(dict):
-    """Whitespace-free chunks to their ids' bytes, through the tokenizers library; two generations of a bounded size are kept.
+    """Texts to their ids' bytes, through the tokenizers library.
 
-    No token of these vocabularies reaches over ASCII white space, so chunks encode alone as they do in their text. A tail of plain
-    punctuation after a letter is a token group of its own and is looked up apart.
+    A tokenizer of the form BY_CHUNKS never joins anything over ASCII white space, so chunks encode alone as they do in their text; two generations of
+    known chunks, of a bounded size, are kept. A tail of plain punctuation after a letter is a token group of its own and is looked up apart.
+    Texts of any other tokenizer go to the library whole.
     """
 
-    TAIL = b".,;:!?"
+    TAIL, LONGEST = b".,;:!?", 64
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1 << 17):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        self.chunks = by_chunks(self.tokenizer)
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         #: The byte-level alphabet: printable bytes are themselves, the others follow from U+0100 on.
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - plain))}
@@ -157,10 +181,11 @@ class Encoder(dict):
                 found = self[chunk.lower()]
             else:
                 found = array("I", self._ids(chunk.decode())).tobytes()  # little-endian here, as on all machines that Spark supports
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = found
+        if len(chunk) <= self.LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = found
         return found
 
     def _ids(self, text: str) -> list[int]:
@@ -172,6 +197,8 @@ class Encoder(dict):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: bytes | None) -> bytes:
+        if not self.chunks:
+            return array("I", self.tokenizer.encode((text or b"").decode(), add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
@@ -185,35 +212,58 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """part int (by doc_id, below bounds), doc_id long, ids binary (little-endian unsigned 32 bits, with the end id)."""
+class Parts:
+    """The file of each document: by doc_id, below bounds (quantiles of the doc_ids, in order). A doc_id that several bounds equal, and null, have rows for several files and are dealt by the text's crc32."""
+
+    def __init__(self, bounds: list[int], nulls: int):
+        self.bounds, self.nulls = bounds, nulls
+
+    def of(self, doc_id: int | None, text: bytes | None) -> tuple[int, int]:
+        """The file, and the text's crc32 where it decides (else 0)."""
+        if doc_id is None:
+            first, many = 0, self.nulls
+        else:
+            lo, hi = bisect_left(self.bounds, doc_id), bisect_right(self.bounds, doc_id)
+            first, many = self.nulls + (lo + 1 if hi > lo else lo), hi - lo
+        if many < 2:
+            return first, 0
+        crc = zlib.crc32(text or b"")
+        return first + (crc * many >> 32), crc
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, parts: Parts) -> DataFrame:
+    """part int, doc_id long, crc long, ids binary (little-endian unsigned, 16 bits where all ids fit, else 32; with the end id)."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for b in slices(batches):
-            ids = b.column(0).to_pylist()
-            part = [0 if i is None else bisect_right(bounds, i) for i in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), pa.array([np.frombuffer(encode(t) + end, "<u4").astype("<u2").tobytes() if encode.bits <= 16 else encode(t) + end for t in raw(b.column(1))], pa.binary())], names=["part", "doc_id", "ids"])
+            texts = raw(b.column(1))
+            part = [parts.of(i, t) for i, t in zip(b.column(0).to_pylist(), texts, strict=True)]
+            ids = [np.frombuffer(encode(t) + end, "<u4").astype("<u2").tobytes() if encode.bits <= 16 else encode(t) + end for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.int32()), b.column(0), pa.array([c for _, c in part], pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "crc", "ids"])
 
-    return docs.select(col_or_null(docs, "doc_id", "long").alias("doc_id"), col_or_null(docs, "text", "string").alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
+    return docs.select(col_or_null(docs, "doc_id", "long").alias("doc_id"), col_or_null(docs, "text", "string").alias("text")).mapInArrow(run, "part int, doc_id long, crc long, ids binary")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, docs_per_file: int = 4096, folder: str | None = None) -> list[tuple[str, int, int]]:
-    """Writes the files and returns, for each in order: its URI, documents, ids. The driver holds one entry for each file.
+    """Writes the files and returns, for each in order: its URI, documents, ids.
 
-    A file is written under a name of its task attempt and then moved into place, so a lost executor's task can run again.
+    The driver and each task hold one entry for each file: one for docs_per_file documents, but no more than 16 for each shuffle partition. A file is written under a name of its task attempt and then moved into place, so a lost executor's task can run again.
     """
     spark = docs.sparkSession
     from tokenizers import Tokenizer
 
     bits = max(1, (Tokenizer.from_file(tokenizer).get_vocab_size() - 1).bit_length())
     unit = "<u2" if bits <= 16 else "<u4"
-    folder = folder or shared_dir(spark)
+    folder = folder or Workspace(spark).path("tokens")
     ids = docs.select(col_or_null(docs, "doc_id", "long").alias("d"))
-    parts = max(1, -(-ids.count() // docs_per_file))
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("d", cuts, 100 * parts).alias("q")).first().q or [])) if cuts else []
+    rows, nulls = ids.agg(F.count("*"), F.count_if(F.col("d").isNull())).first()
+    docs_per_file = max(docs_per_file, -(-rows // (16 * partitions(spark))))
+    many = max(1, -(-(rows - nulls) // docs_per_file))
+    cuts = [i / many for i in range(1, many)]
+    bounds = list(ids.agg(F.percentile_approx("d", cuts, min(100 * many, 1_000_000)).alias("q")).first().q or []) if cuts else []
+    parts = Parts(bounds, -(-nulls // docs_per_file))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -227,7 +277,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, docs_per_file: in
             done.append((part, len(writer.docs), writer.n))
 
         for b in batches:
-            for p, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for p, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
                 if p != part:
                     if writer:
                         close()
@@ -237,7 +287,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, docs_per_file: in
             close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([x[0] for x in done], pa.int32()), "docs": pa.array([x[1] for x in done], pa.int64()), "n": pa.array([x[2] for x in done], pa.int64())})
 
-    dealt = encoded(docs, tokenizer, end_id, bounds).repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = encoded(docs, tokenizer, end_id, parts).repartition(many + parts.nulls, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc", "ids")
     files = dealt.mapInArrow(write, "part int, docs long, n long").collect()
     return [(f"{folder}/{r.part:08d}.tok", r.docs, r.n) for r in sorted(files)]
 
