@@ -6,8 +6,11 @@ item, or a whole shorter item) is a hit. Every span of hits is removed, those of
 `max_coverage` goes as a whole.
 
 Null or empty texts have no words and no hits. Items without words have no window. Items with equal texts all count; repeated rows are
-judged each on its own; a null item_id counts as 'null'. Empty tables give empty results or no hits. Extra columns pass through; input
-columns named like an output are replaced.
+judged each on its own; a null item_id counts as 'null'. Texts of any length are read whole. Empty tables give empty results or no hits. Extra
+columns pass through: `match` replaces input columns named like its outputs, `decontaminate` leaves all but text as they are.
+
+A benchmark of more than `block_words` words is met in several automata, one after another: each pass writes the hits of one automaton, which is
+then dropped, and the hits of all passes meet by row.
 """
 
 from __future__ import annotations
@@ -15,14 +18,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import raw, schema_with, slices, with_columns
+from palimpsest.llm.common import Workspace, raw, schema_with, slices, spare_name, with_columns
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -194,57 +197,86 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[s
     yield block
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
+MATCHED = ("n_words", "hit_spans", "hit_items")
+TYPES = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+
+
+def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000, names: tuple[str, str, str] = MATCHED) -> DataFrame:
     """docs with n_words long, hit_spans array<int> (starts and ends of merged runs of hit words, in turn), hit_items array<string>."""
     spark = docs.sparkSession
-    schema = schema_with(docs, n_words="long", hit_spans="array<int>", hit_items="array<string>")
-    for k, items in enumerate(item_blocks(benchmark, block_words)):
+    schema = schema_with(docs, **dict(zip(names, ("long", "array<int>", "array<string>"), strict=True)))
+    blocks = item_blocks(benchmark, block_words)
+    items, more = next(blocks), next(blocks, None)
+    if more is None:
         shared = spark.sparkContext.broadcast(SuffixAutomaton(items, window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0) -> Iterator[pa.RecordBatch]:
-            machine = shared.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                names = b.schema.names
-                before = repeat(((), ())) if first else zip(b.column(names.index("hit_spans")).to_pylist(), b.column(names.index("hit_items")).to_pylist(), strict=True)
-                count, spans, items = [], [], []
-                for text, (old, old_items) in zip(raw(b.column(names.index("text"))), before, strict=False):
-                    ws = words(text)
-                    hit, found = machine.scan(ws)
-                    if old:
-                        hit = merged(hit + list(zip(old[::2], old[1::2], strict=True)))
-                    count.append(len(ws))
-                    spans.append([x for s in hit for x in s])
-                    items.append(sorted(found | set(old_items)))
-                yield with_columns(b, {"n_words": pa.array(count, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.int32())), "hit_items": pa.array(items, pa.list_(pa.string()))})
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
+                texts = [words(t) for t in raw(b.column(b.schema.names.index("text")))]
+                found = [shared.value.scan(ws) for ws in texts]
+                new = ([len(ws) for ws in texts], [[x for s in hit for x in s] for hit, _ in found], [sorted(f) for _, f in found])
+                yield with_columns(b, {n: pa.array(v, t) for n, v, t in zip(names, new, TYPES, strict=True)})
+
+        return docs.mapInArrow(run, schema)
+
+    ws, rid, at = Workspace(spark), spare_name(docs, "_rid"), spare_name(docs, "_hits")
+    rows = ws.stage(docs.withColumn(rid, F.monotonically_increasing_id()), "docs")
+    hits = None
+    for block in chain((items, more), blocks):
+        one = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+        found = ws.stage(_hits(rows.select(F.col(f"`{rid}`").alias("r"), "text"), one), "hits")
+        one.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("r").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = rows.join(hits.select(F.col("r").alias(rid), F.struct("spans", "items").alias(at)), rid, "left")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            columns = b.schema.names
+            found = b.column(columns.index(at)).to_pylist()
+            spans = [merged(list(zip(f["spans"][::2], f["spans"][1::2], strict=True))) if f else [] for f in found]
+            new = ([len(words(t)) for t in raw(b.column(columns.index("text")))], [[x for s in hit for x in s] for hit in spans], [f["items"] if f else [] for f in found])
+            yield with_columns(b.select([c for c in columns if c not in (rid, at)]), {n: pa.array(v, t) for n, v, t in zip(names, new, TYPES, strict=True)})
+
+    return joined.select(*[f"`{c}`" for c in docs.columns], f"`{rid}`", f"`{at}`").mapInArrow(meet, schema)
+
+
+def _hits(rows: DataFrame, shared) -> DataFrame:
+    """r, spans, items of the rows (r, text) that one automaton hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = [(r, [x for s in hit for x in s], sorted(names)) for r, t in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True) for hit, names in (shared.value.scan(words(t)),) if hit]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*out, strict=True)) or [()] * 3, TYPES, strict=True)], names=["r", "spans", "items"])
+
+    return rows.mapInArrow(run, "r long, spans array<int>, items array<string>")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8, block_words: int = 1_000_000) -> DataFrame:
     """docs without the spans of hit words (each holds a window or a whole shorter item), and without documents hit beyond max_coverage.
 
     A removed span reaches from its first word's first byte to its last word's last byte; the rest of the text stays byte for byte.
     """
-    found, columns = match(docs, benchmark, window), list(docs.columns)
+    n_words, hit_spans, hit_items = names = tuple(spare_name(docs, n) for n in MATCHED)
+    found, columns = match(docs, benchmark, window, block_words, names), list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            names = b.schema.names
+            at = b.schema.names.index
             texts, keep = [], []
-            for text, n, spans in zip(raw(b.column(names.index("text"))), b.column(names.index("n_words")).to_pylist(), b.column(names.index("hit_spans")).to_pylist(), strict=True):
+            for text, n, spans in zip(raw(b.column(at("text"))), b.column(at(n_words)).to_pylist(), b.column(at(hit_spans)).to_pylist(), strict=True):
                 pairs = list(zip(spans[::2], spans[1::2], strict=True))
                 keep.append(not pairs or sum(y - x for x, y in pairs) <= max_coverage * n)
                 if pairs and keep[-1]:
-                    at = [m.span() for m in WORD.finditer(text.lower())]
+                    where = [m.span() for m in WORD.finditer(text.lower())]
                     out, last = [], 0
                     for x, y in pairs:
-                        out.append(text[last : at[x][0]])
-                        last = at[y - 1][1]
+                        out.append(text[last : where[x][0]])
+                        last = where[y - 1][1]
                     text = b"".join([*out, text[last:]])
                 texts.append(text)
             clean = with_columns(b, {"text": pa.array([t.decode() if t is not None else None for t in texts], pa.string())})
-            yield clean.filter(pa.array(keep)).select(columns)
+            yield clean.filter(pa.array(keep, pa.bool_())).select(columns)
 
     return found.mapInArrow(run, schema_with(docs))
 
