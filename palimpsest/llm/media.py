@@ -143,28 +143,36 @@ def npy(tile: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+#: What `media_columns` adds; the digests are of the decoded samples (payload) and of the stored bytes (media).
+ADDED = {"width": "int", "height": "int", "channels": "int", "tile_npy": "binary", "dhash": "string", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "media_error": "string"}
+ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+
+
 def media_columns(df: DataFrame, column: str = "media", tile: tuple[int, int] = (8, 8)) -> DataFrame:
-    """Adds width, height, channels (int), tile_npy (binary: the area-resized 8-bit tile), dhash (hex) and media_error (string)."""
-    schema = schema_with(df, width="int", height="int", channels="int", tile_npy="binary", dhash="string", media_error="string")
+    """The column's images, each decoded once: adds ADDED (tile_npy: the area-resized 8-bit tile as NPY) and drops the column.
+
+    Null and damaged images have null columns and a media_error.
+    """
+    kept = df.drop(column)
+    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
-            out: dict[str, list] = {k: [] for k in ("width", "height", "channels", "tile_npy", "dhash", "media_error")}
+            out: dict[str, list] = {k: [] for k in ADDED}
             for data in raw(b.column(b.schema.names.index(column))):
                 try:
                     if data is None:
                         raise ValueError("null")
                     p = decode(data)
-                    small = (area_resize(p, *tile) + 0.5).astype(np.uint8)
-                    values = (p.shape[1], p.shape[0], p.shape[2], npy(small), difference_hash(p), None)
+                    small, payload = (area_resize(p, *tile) + 0.5).astype(np.uint8), p.tobytes()
+                    values = (p.shape[1], p.shape[0], p.shape[2], npy(small), difference_hash(p), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), None)
                 except (ValueError, IndexError, struct.error) as e:
-                    values = (None,) * 5 + (str(e)[:80] or "bad",)
+                    values = (None,) * (len(ADDED) - 1) + (str(e)[:80] or "bad",)
                 for k, v in zip(out, values, strict=True):
                     out[k].append(v)
-            kinds = [pa.int32()] * 3 + [pa.binary(), pa.string(), pa.string()]
-            yield with_columns(b, {k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+            yield with_columns(b.select(names), {k: pa.array(v, ARROW[ADDED[k]]) for k, v in out.items()})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema_with(kept, **ADDED))
 
 
 def as_pixels(text: bytes | None) -> np.ndarray:
@@ -186,30 +194,22 @@ def pack_text(df: DataFrame, form: str = "ppm") -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def payload_digests(df: DataFrame) -> DataFrame:
-    """Adds what is computed from the stored bytes once decoded: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256."""
-    added = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string"}
+def tile_digests(df: DataFrame) -> DataFrame:
+    """Adds tile_sha256: the digest of the NPY tile's shape and samples, as numpy reads them from the stored bytes (null where there is none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            media = raw(b.column(b.schema.names.index("media")))
-            payload = [decode(m).tobytes() for m in media]
-            yield with_columns(
-                b,
-                {
-                    "payload_bytes": pa.array([len(p) for p in payload], pa.int64()),
-                    "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payload]),
-                    "tail_crc32": pa.array([zlib.crc32(p[-16:]) for p in payload], pa.int64()),
-                    "media_bytes": pa.array([len(m) for m in media], pa.int64()),
-                    "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                },
-            )
-
-    return df.mapInArrow(run, schema_with(df, **added))
+        for b in slices(batches, 1024):
+            tiles = [None if t is None else np.load(io.BytesIO(t), allow_pickle=False) for t in raw(b.column(b.schema.names.index("tile_npy")))]
+            yield with_columns(b, {"tile_sha256": pa.array([None if t is None else hashlib.sha256(b"%d %d %d " % t.shape + t.tobytes()).hexdigest() for t in tiles], pa.string())})
+
+    return df.mapInArrow(run, schema_with(df, tile_sha256="string"))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole document stored as a Netpbm image in the shared folder, read back, digested and hashed."""
-    stored = Workspace(spark).stage(pack_text(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
-    out = media_columns(payload_digests(stored))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"))
+    """Every whole document stored as a Netpbm image in the shared folder, read back, digested, resized and hashed; the NPY tiles are stored and read back too."""
+    ws = Workspace(spark)
+    stored = ws.stage(pack_text(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    tiled = ws.stage(media_columns(stored).drop("media_error"), "tiles")
+    ws.drop(stored)
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), "tile_sha256")
+    return tile_digests(tiled).select(*columns)
