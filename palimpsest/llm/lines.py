@@ -8,8 +8,8 @@ A line's key is the line without ASCII white space at both ends, A-Z lower-cased
 Keys are compared by 96 bits of xxh3.
 
 Null texts count as one empty line. Documents are doc_ids: rows that share a doc_id are one document, and each keeps the lines of keys whose
-smallest doc_id it is. A null doc_id is larger than all others. An empty table gives an empty result. Only doc_id and text matter; `dedup_lines`
-passes extra columns through and replaces columns named like its outputs.
+smallest doc_id it is. A null doc_id is larger than all others. Texts of any length are read whole. An empty table gives an empty result. Only doc_id
+and text matter; `dedup_lines` passes extra columns through and replaces columns named like its outputs.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Workspace, col_or_null, partitions, raw, schema_with, slices, with_columns
+from palimpsest.llm.common import Workspace, col_or_null, partitions, raw, schema_with, slices, spare_name, with_columns
 
 SPACE, LAST = b" \t\n\x0b\x0c\r", (1 << 63) - 1
 KEYS = "batch int, h1 long, h2 long, chunk int, lo long, hi long"
@@ -73,14 +74,14 @@ def line_keys(docs: DataFrame, bounds: list[int], chunks: int, least: int) -> Da
 class LineIndex:
     """Levelled runs (h1, h2, first) as bucketed tables in the warehouse."""
 
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 3):
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+    def __init__(self, ws: Workspace, buckets: int, fanout: int = 3):
+        self.ws, self.spark, self.buckets, self.fanout = ws, ws.spark, buckets, fanout
         self.name, self.n = f"palimpsest_lines_{uuid.uuid4().hex}", 0
         self.levels: list[list[str]] = []
 
     def table(self, df: DataFrame, partition: str | None = None) -> str:
         """Written so that each task holds whole buckets: one sorted file for each."""
-        name = f"{self.name}_{self.n}"
+        name = self.ws.table(f"{self.name}_{self.n}")
         self.n += 1
         writer = df.repartition(self.buckets, "h1", "h2").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
         (writer.partitionBy(partition) if partition else writer).saveAsTable(name)
@@ -112,32 +113,31 @@ class LineIndex:
                 merged = merged.unionByName(self.spark.table(other))
             self._push(level + 1, self.table(merged))
             for old in full:
-                self.spark.sql(f"DROP TABLE {old}")
+                self.ws.drop_table(old)
 
     def drop(self) -> None:
         for name in self.runs():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.ws.drop_table(name)
         self.levels = []
 
 
-def decisions(docs: DataFrame, batches: int, chunks: int, least: int) -> DataFrame:
-    """chunk, h1, h2, first: keys that a chunk's documents other than `first` must drop."""
+def decisions(ws: Workspace, docs: DataFrame, batches: int, chunks: int, least: int) -> list[DataFrame]:
+    """chunk, h1, h2, first: keys that a chunk's documents other than `first` must drop, one staged table for each batch."""
     spark = docs.sparkSession
-    ws, index = Workspace(spark), LineIndex(spark, partitions(spark))
+    index = LineIndex(ws, partitions(spark))
     ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"))
     bounds = sorted(set(ids.agg(F.percentile_approx("d", [i / batches for i in range(1, batches)], 10_000).alias("q")).first().q or [])) if batches > 1 else []
     keys = index.table(line_keys(docs, bounds, chunks, least), "batch")
-    out = None
+    out = []
     for k in range(len(bounds) + 1):
         batch = index.lookup(spark.table(keys).filter(F.col("batch") == k))
         batch = batch.withColumn("own", F.min("lo").over(W.partitionBy("h1", "h2")))
         judged = batch.select("h1", "h2", "chunk", "lo", "hi", "own", "first")
-        drop = ws.stage(judged.filter(F.col("hi") > F.coalesce("first", "own")).select("chunk", "h1", "h2", F.coalesce("first", "own").alias("first")), f"drop{k}")
-        out = drop if out is None else out.unionByName(drop)
+        out.append(ws.stage(judged.filter(F.col("hi") > F.coalesce("first", "own")).select("chunk", "h1", "h2", F.coalesce("first", "own").alias("first")), f"drop{k}"))
         if k < len(bounds):
             index.add(judged.filter("first is null and lo = own").select("h1", "h2", F.col("own").alias("first")).dropDuplicates(["h1", "h2"]))
     index.drop()
-    spark.sql(f"DROP TABLE {keys}")
+    ws.drop_table(keys)
     return out
 
 
@@ -149,19 +149,23 @@ def dedup_lines(docs: DataFrame, batches: int = 6, least: int = 10, keep_text: b
     spark = docs.sparkSession
     chunks = 8 * partitions(spark)
     core = docs.select(col_or_null(docs, "doc_id", "long").alias("doc_id"), col_or_null(docs, "text", "string").alias("text"))
-    drops = decisions(core, batches, chunks, least)
+    ws = Workspace(spark)
+    found = decisions(ws, core, batches, chunks, least)
+    drops = reduce(DataFrame.unionByName, found)
+
+    rest = docs if keep_text else core
+    rest = rest.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    columns = list(rest.columns)
+    chunk_, kind_, h1_, h2_, first_ = (spare_name(rest, n) for n in ("_chunk", "_kind", "_h1", "_h2", "_first"))
 
     def placed(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
             ids = b.column(b.schema.names.index("doc_id")).to_pylist()
-            yield with_columns(b, {"_chunk": pa.array([chunk_of(LAST if d is None else d, chunks) for d in ids], pa.int32())})
+            yield with_columns(b, {chunk_: pa.array([chunk_of(LAST if d is None else d, chunks) for d in ids], pa.int32())})
 
-    rest = docs if keep_text else core
-    rest = rest.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    columns = list(rest.columns)
-    rows = rest.mapInArrow(placed, schema_with(rest, _chunk="int")).withColumns({"_kind": F.lit(1), "_h1": F.lit(None).cast("long"), "_h2": F.lit(None).cast("long"), "_first": F.lit(None).cast("long")})
-    told = drops.select(F.col("chunk").alias("_chunk"), F.lit(0).alias("_kind"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("first").alias("_first"))
-    both = rows.unionByName(told, allowMissingColumns=True).repartition(partitions(spark), "_chunk").sortWithinPartitions("_chunk", "_kind")
+    rows = rest.mapInArrow(placed, schema_with(rest, **{chunk_: "int"})).withColumns({kind_: F.lit(1), h1_: F.lit(None).cast("long"), h2_: F.lit(None).cast("long"), first_: F.lit(None).cast("long")})
+    told = drops.select(F.col("chunk").alias(chunk_), F.lit(0).alias(kind_), F.col("h1").alias(h1_), F.col("h2").alias(h2_), F.col("first").alias(first_))
+    both = rows.unionByName(told, allowMissingColumns=True).repartition(partitions(spark), chunk_).sortWithinPartitions(chunk_, kind_)
     keep = [c for c in columns if keep_text or c != "text"]
     keep = [c for c in keep if c not in ("n_lines", "n_dropped", "kept_sha256")]
 
@@ -169,8 +173,8 @@ def dedup_lines(docs: DataFrame, batches: int = 6, least: int = 10, keep_text: b
         chunk, first = None, {}
         for b in slices(batches_, 2048):
             at = {n: i for i, n in enumerate(b.schema.names)}
-            kinds, of = b.column(at["_kind"]).to_pylist(), b.column(at["_chunk"]).to_pylist()
-            h1, h2, f = (b.column(at[c]).to_pylist() for c in ("_h1", "_h2", "_first"))
+            kinds, of = b.column(at[kind_]).to_pylist(), b.column(at[chunk_]).to_pylist()
+            h1, h2, f = (b.column(at[c]).to_pylist() for c in (h1_, h2_, first_))
             ids, texts = b.column(at["doc_id"]).to_pylist(), raw(b.column(at["text"]))
             kept, lines, dropped, digest = [], [], [], []
             for i, kind in enumerate(kinds):
@@ -191,7 +195,11 @@ def dedup_lines(docs: DataFrame, batches: int = 6, least: int = 10, keep_text: b
             new = {"n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
             yield with_columns(docs_only, ({"text": pa.array([t.decode() if t is not None else None for t in kept], pa.string())} if keep_text else {}) | new)
 
-    return both.mapInArrow(run, schema_with(rest.select(*[f"`{c}`" for c in keep]), n_lines="long", n_dropped="long", kept_sha256="string"))
+    out = both.mapInArrow(run, schema_with(rest.select(*[f"`{c}`" for c in keep]), n_lines="long", n_dropped="long", kept_sha256="string"))
+    if not keep_text:
+        out = ws.stage(out, "digests")
+        ws.drop(*found)
+    return out
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

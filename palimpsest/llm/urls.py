@@ -6,7 +6,7 @@ against links (who links to a blocked host is suspect), seeded with the share th
 trust by `margin`.
 
 A null URL or one without :// has an empty host and path; such pages fit no rule, send no links and take the verdict of the empty host (allow:
-it has no seeds). Null HTML has no links. Links of a host to itself count for nothing. Repeated rows count as pages of their own. Empty tables
+it has no seeds). Null HTML has no links; HTML of any length is read whole. Links of a host to itself count for nothing. Repeated rows count as pages of their own. Empty tables
 give empty results. Extra columns pass through `judge`; input columns named like an output are replaced.
 """
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Workspace, col_or_null
+from palimpsest.llm.common import Workspace, col_or_null, spare_name
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -76,18 +76,21 @@ def spread(ws: Workspace, seeds: DataFrame, edges: DataFrame, damping: float, ro
         later = both.groupBy("host").agg((F.sum("seed") + damping * F.sum("flow")).alias("score"))
         later = ws.stage(later, "scores")
         moved = later.alias("a").join(now.alias("b"), "host", "left").agg(F.max(F.abs(F.col("a.score") - F.coalesce("b.score", F.lit(0.0))))).first()[0]
+        if now is not seeds:
+            ws.drop(now)
         now = later
         if (moved or 0) < epsilon:
+            ws.drop(edges)
             return now
     raise RuntimeError(f"scores still move by {moved} after {rounds} rounds")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 1_000, epsilon: float = 1e-6, margin: float = 0.5) -> DataFrame:
     """pages with host, path, rule, trust, distrust and verdict."""
-    ws = Workspace(pages.sparkSession)
+    ws, fit = Workspace(pages.sparkSession), spare_name(pages, "_rule")
     host, path = split_url(col_or_null(pages, "url", "string"))
-    own = pages.withColumns({"host": host, "path": path}).withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
-    small = own.select("host", F.col("_rule.verdict").alias("v"))
+    own = pages.withColumns({"host": host, "path": path}).withColumn(fit, longest_rule(F.col("host"), F.col("path"), rules))
+    small = own.select("host", F.col(f"{fit}.verdict").alias("v"))
     seeds = ws.stage(
         small.filter("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("v") == "allow", 1.0).otherwise(0.0)).alias("trusted"), F.avg(F.when(F.col("v") == "block", 1.0).otherwise(0.0)).alias("blocked")),
         "seeds",
@@ -99,8 +102,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.
     scores = trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full")
     own = own.drop("trust", "distrust").join(ws.stage(scores, "hosts"), "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(distrust - trust > margin, "block").otherwise("allow"))
-    out = own.withColumns({"trust": trust, "distrust": distrust, "rule": F.col("_rule.rule"), "verdict": verdict})
+    verdict = F.coalesce(F.col(f"{fit}.verdict"), F.when(distrust - trust > margin, "block").otherwise("allow"))
+    out = own.withColumns({"trust": trust, "distrust": distrust, "rule": F.col(f"{fit}.rule"), "verdict": verdict})
     added = ["host", "path", "rule", "trust", "distrust", "verdict"]
     return out.select(*[f"`{c}`" for c in pages.columns if c not in added], *added)
 
