@@ -99,3 +99,19 @@ def leaks(docs, items, window=10):
                     names |= found
         out.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+def targets(sizes: dict[str, int], weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> dict[str, float]:
+    """Budget dealt by weight in the order of the sources (null, "-", last); what is above `most` sizes is dealt again among the others."""
+    order = sorted(sizes, key=lambda s: (s == "-", s))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    left, free, out = share * sum(sizes.values()), list(order), {}
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        over = [s for s in free if unit * weight[s] >= most * sizes[s]]
+        if not over:
+            return out | {s: unit * weight[s] for s in free}
+        out |= {s: most * sizes[s] for s in over}
+        left -= sum(out[s] for s in over)
+        free = [s for s in free if s not in over]
+    return out

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 import palimpsest.llm.neardup as neardup
 import palimpsest.llm.substrings as substrings
 from palimpsest.llm import decontaminate, lines, media, tokens
+from palimpsest.llm.common import Workspace
 from tests.llm import brute
 from tests.llm.conftest import same
 
@@ -25,7 +26,7 @@ def test_lines(frame, docs, empty):
 
 
 def test_line_index_compacts(spark):
-    index = lines.LineIndex(spark, 2, fanout=2)
+    index = lines.LineIndex(Workspace(spark), 2, fanout=2)
     for k in range(5):
         new = index.lookup(spark.createDataFrame([(h, 0) for h in range(k * 3, k * 3 + 5)], "h1 long, h2 long"))
         index.add(new.filter("first is null").withColumn("first", new.h1 * 0 + k))
@@ -87,7 +88,7 @@ def test_near_duplicates_in_branched_and_dense_nodes(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     rows += [(i, " ".join(passage + [r.choice(words) for _ in range(40)])) for i in range(100, 160)]
     monkeypatch.setattr(neardup, "BLOCK", 16)
-    monkeypatch.setattr(neardup.leaves, "__defaults__", (6,))
+    monkeypatch.setattr(neardup.classes, "__defaults__", (6,))
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     same(out.select("doc_id", "component_id").collect(), [(i, c) for i, _, c, _ in brute.near(rows)])
 
@@ -105,7 +106,7 @@ def test_near_duplicates_in_large_nodes_meet(spark):
             rows.append((len(rows), m[: neardup.TREES].tobytes(), mixed.astype(np.uint8).tobytes() + mixed[: neardup.TREES].astype(np.uint32).tobytes()))
         pairs.append((len(rows) - 2, len(rows) - 1))
     ws = neardup.Workspace(spark)
-    leaves = neardup.leaves(ws, spark.createDataFrame(rows, "cid long, top binary, bytes binary"), 6)
+    leaves, _ = neardup.leaves(ws, spark.createDataFrame(rows, "cid long, top binary, bytes binary"), 6)
     wanted = {c for pair in pairs for c in pair}
     held: dict[int, set[int]] = {c: set() for c in wanted}
     for row in leaves.filter(leaves.cid.isin(list(wanted))).select("node", "cid").collect():
@@ -207,7 +208,7 @@ def test_packing(bits, data):
 
 def test_media(frame, docs, empty):
     for form in ("ppm", "bmp"):
-        out = media.media_columns(media.payload_digests(media.pack_text(frame, form))).collect()
+        out = media.media_columns(media.pack_text(frame, form)).collect()
         import hashlib
 
         payload = lambda t: brute.data(t) + b" " * (max(192, -(-len(brute.data(t)) // 192) * 192) - len(brute.data(t)))

@@ -9,13 +9,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing, quality, toxicity, urls
+from tests.llm import brute
 
 
-def test_targets():
-    got = mixing.targets({"+a": 100, "+b": 100, "+c": 100, "-": 100})
+def test_targets(spark):
+    def targets(sizes):
+        found = mixing.targets(mixing.Workspace(spark), spark.createDataFrame(list(sizes.items()), "_source string, source_size long")).collect()
+        assert {r._source: r.source_size for r in found} == sizes
+        return {r._source: r.target for r in found}
+
+    got = targets({"+a": 100, "+b": 100, "+c": 100, "-": 100})
     assert got["+a"] == 200 and got["-"] == 200 and sum(got.values()) == pytest.approx(600)
-    assert got["+b"] == pytest.approx(400 / 3 * 1) or got["+b"] == pytest.approx(2 * got["+c"])
-    assert mixing.targets({}) == {} and mixing.targets({"+a": 0}) == {"+a": 0}
+    assert got["+b"] == pytest.approx(2 * got["+c"])
+    assert targets({}) == {} and targets({"+a": 0}) == {"+a": 0}
+    r = random.Random(2)
+    sizes = {f"+{k:03d}": r.choice((0, 5, 50, 500, 5000)) for k in range(50)} | {"-": 70}
+    assert targets(sizes) == pytest.approx(brute.targets(sizes))
 
 
 def test_mixing(frame, docs, empty):
