@@ -1,6 +1,7 @@
 """Rank fusion of dense, lexical and graph channels, with a registry of algorithms.
 
-Channels are DataFrames (query_id, pid, summary, importance, ts, entities, score, rank). Rows meet on the fusion key. Ties go by key.
+Channels are DataFrames (query_id, pid, importance, ts, entities, score, rank) with summary or, where the text is not needed, with its fusion key
+fkey alone. Rows meet on the fusion key. Ties go by key.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ from palimpsest.params import DEFAULT, Params
 KEEP = ("pid", "summary", "importance", "ts", "entities")
 
 
+def kept(channel: DataFrame) -> list[str]:
+    return [c for c in KEEP if c in channel.columns]
+
+
 def first_per_key(channel: DataFrame) -> DataFrame:
     """fkey with its best row: lowest rank, then pid."""
-    held = channel.withColumn("fkey", fusion_key(F.col("summary"))).filter("fkey <> ''")
+    held = (channel if "fkey" in channel.columns else channel.withColumn("fkey", fusion_key(F.col("summary")))).filter("fkey <> ''")
     one = W.partitionBy("query_id", "fkey").orderBy("rank", "pid")
     return held.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
 
@@ -31,26 +36,30 @@ def arithmetic(vec: DataFrame, bm25: DataFrame, entities: DataFrame | None = Non
 
     entities is accepted for the registry's sake and has no part in it.
     """
-    v, b = first_per_key(vec), first_per_key(bm25)
-    both = v.select("query_id", "fkey", F.struct(*KEEP).alias("v"), F.col("score").alias("vs")).join(b.select("query_id", "fkey", F.struct(*KEEP).alias("b"), F.col("score").alias("bs")), ["query_id", "fkey"], "full_outer")
+    v, b, keep = first_per_key(vec), first_per_key(bm25), kept(vec)
+    both = v.select("query_id", "fkey", F.struct(*keep).alias("v"), F.col("score").alias("vs")).join(b.select("query_id", "fkey", F.struct(*keep).alias("b"), F.col("score").alias("bs")), ["query_id", "fkey"], "full_outer")
     both = both.filter(F.col("vs").isNotNull() | (F.col("bs") >= p.bm25_floor))
     dual = F.col("vs").isNotNull() & (F.col("bs") >= p.bm25_floor)
     orig = F.coalesce("vs", "bs")
     fused = F.when(dual, X.rounded(F.sqrt(F.col("vs") * F.col("bs")) * p.dual_boost)).otherwise(X.rounded(orig * p.single_penalty))
     channels = F.when(dual, "vec,bm25").when(F.col("vs").isNotNull(), "vec").otherwise("bm25")
     row = F.coalesce("v", "b")
-    out = both.select("query_id", "fkey", *[row[c].alias(c) for c in KEEP], channels.alias("channels"), orig.alias("orig"), fused.alias("fused"))
+    out = both.select("query_id", "fkey", *[row[c].alias(c) for c in keep], channels.alias("channels"), orig.alias("orig"), fused.alias("fused"))
     out = out.filter((F.col("channels") == "vec,bm25") | ((F.col("orig") > 0) & (F.col("fused") / F.col("orig") >= p.single_drop)))
     key = X.time_decay(X.importance_weight(F.col("fused"), F.col("importance"), p), F.col("ts"), p)
     return out.withColumn("sort_key", key).drop("orig")
 
 
 def rrf(vec: DataFrame, bm25: DataFrame, entities: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
-    """Reciprocal ranks of both channels, times 100; a summary that holds or shares one of the query's graph entities gains 15 %; then age."""
-    ranked = [first_per_key(c).select("query_id", "fkey", F.struct("rank", F.struct(*KEEP).alias("r")).alias("best"), (1 / (p.rrf_k + F.col("rank"))).alias("part"), F.lit(i).alias("ch")) for i, c in enumerate((vec, bm25.filter(F.col("score") >= p.bm25_floor)))]
+    """Reciprocal ranks of both channels, times 100; a summary that holds or shares one of the query's graph entities gains 15 %; then age.
+
+    With entities the channels must have their summaries.
+    """
+    keep = kept(vec)
+    ranked = [first_per_key(c).select("query_id", "fkey", F.struct("rank", F.struct(*keep).alias("r")).alias("best"), (1 / (p.rrf_k + F.col("rank"))).alias("part"), F.lit(i).alias("ch")) for i, c in enumerate((vec, bm25.filter(F.col("score") >= p.bm25_floor)))]
     both = ranked[0].unionByName(ranked[1])
     out = both.groupBy("query_id", "fkey").agg(F.sum("part").alias("s"), F.min_by(F.col("best.r"), F.col("ch")).alias("r"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("ch") == 0, "vec").otherwise("bm25"))), ",").alias("channels"))
-    out = out.select("query_id", "fkey", *[F.col(f"r.{c}").alias(c) for c in KEEP], "channels", X.rounded(F.col("s") * 100, 6).alias("fused"))
+    out = out.select("query_id", "fkey", *[F.col(f"r.{c}").alias(c) for c in keep], "channels", X.rounded(F.col("s") * 100, 6).alias("fused"))
     boosted = F.col("fused")
     if entities is not None:
         out = out.join(entities.select("query_id", F.col("names").alias("_names")), "query_id", "left")
@@ -65,9 +74,13 @@ def entity_hit(summary: Column, names: Column) -> Column:
 
 
 def rrf_n(channels: dict[str, DataFrame], p: Params = DEFAULT) -> DataFrame:
-    """query_id, summary, channels, score: reciprocal ranks of any number of channels by whole summary, with the top of each query at 1."""
-    parts = [c.groupBy("query_id", "summary").agg(F.min("rank").alias("rank")).select("query_id", "summary", F.lit(name).alias("channel"), (1 / (p.rrf_k + F.col("rank"))).alias("part")) for name, c in channels.items()]
-    summed = reduce(DataFrame.unionByName, parts).groupBy("query_id", "summary").agg(F.sum("part").alias("s"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
+    """query_id, summary, channels, score: reciprocal ranks of any number of channels by whole summary, with the top of each query at 1.
+
+    Summaries meet by their digest, so that no long text is a shuffle key.
+    """
+    digest = F.md5(F.col("summary").cast("binary")).alias("_d")
+    parts = [c.select("query_id", digest, "summary", "rank").groupBy("query_id", "_d").agg(F.min("rank").alias("rank"), F.any_value("summary").alias("summary")).select("query_id", "_d", "summary", F.lit(name).alias("channel"), (1 / (p.rrf_k + F.col("rank"))).alias("part")) for name, c in channels.items()]
+    summed = reduce(DataFrame.unionByName, parts).groupBy("query_id", "_d").agg(F.sum("part").alias("s"), F.any_value("summary").alias("summary"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
     return summed.select("query_id", "summary", "channels", X.rounded(F.col("s") / F.max("s").over(W.partitionBy("query_id"))).alias("score"))
 
 

@@ -74,9 +74,10 @@ def fusion_key_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.first_per_key(R.lexical_channel(A.recall_queries(spark, sf), A.memories(spark, sf), P)).select("query_id", "fkey", "pid")
 
 
-def _channels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _channels(spark: SparkSession, sf: str, text: bool = False) -> tuple[DataFrame, DataFrame]:
     q, m = A.recall_queries(spark, sf), A.memories(spark, sf)
-    return R.dense_channel(q, m, P), R.lexical_channel(q, m, P)
+    index = R.items(m)
+    return R.dense_channel(q, m, P, held=index.docs, text=text), R.lexical_channel(q, m, P, index, text=text)
 
 
 @query(f"WITH {CHANNELS}, {Q.ARITHMETIC} SELECT query_id, fkey, pid, channels, fused, sort_key FROM arith")
@@ -98,7 +99,7 @@ def fuse_rrf(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {CHANNELS}, {RRF} SELECT query_id, fkey, {Q.decay('b')} AS sort_key FROM (SELECT *, CASE WHEN contains(lower(summary), 'the') OR list_contains(entities, 'src1') THEN round(fused * 1.15, 6) ELSE fused END AS b FROM rrf)")
 def fuse_rrf_entities(spark: SparkSession, sf: str) -> DataFrame:
     names = A.recall_queries(spark, sf).select("query_id", F.array(F.lit("The"), F.lit("src1")).alias("names"))
-    return fusion.rrf(*_channels(spark, sf), names, P).select("query_id", "fkey", "sort_key")
+    return fusion.rrf(*_channels(spark, sf, text=True), names, P).select("query_id", "fkey", "sort_key")
 
 
 NCH = """np AS (SELECT query_id, summary, min(rank) AS rank, 'vec' AS c FROM vec JOIN memories USING (pid) GROUP BY ALL UNION ALL SELECT query_id, summary, min(rank), 'bm25' FROM lex JOIN memories USING (pid) GROUP BY ALL{more}),
@@ -108,7 +109,7 @@ NCH = """np AS (SELECT query_id, summary, min(rank) AS rank, 'vec' AS c FROM vec
 
 @query(f"WITH {CHANNELS}, {NCH.format(more='')} SELECT query_id, md5(summary) AS digest, channels, score FROM nfused")
 def fuse_rrf_nchannel(spark: SparkSession, sf: str) -> DataFrame:
-    vec, lex = _channels(spark, sf)
+    vec, lex = _channels(spark, sf, text=True)
     return fusion.rrf_n({"vec": vec, "bm25": lex}).select("query_id", F.md5(F.col("summary").cast("binary")).alias("digest"), "channels", "score")
 
 
@@ -146,7 +147,7 @@ def assoc_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CHANNELS}, {NCH.format(more='')} SELECT query_id, md5(summary) AS digest, CASE WHEN contains(channels, 'vec') AND contains(lower(summary), 'the') THEN round(score * 1.15, 4) ELSE score END AS boosted FROM nfused")
 def graph_boost(spark: SparkSession, sf: str) -> DataFrame:
-    vec, lex = _channels(spark, sf)
+    vec, lex = _channels(spark, sf, text=True)
     f = fusion.rrf_n({"vec": vec, "bm25": lex}).withColumn("channels", F.regexp_replace("channels", "vec", "graph")).withColumnRenamed("score", "sort_key")
     names = A.recall_queries(spark, sf).select("query_id", F.array(F.lit("THE")).alias("names"))
     return fusion.graph_boosted(f, names).select("query_id", F.md5(F.col("summary").cast("binary")).alias("digest"), F.col("sort_key").alias("boosted"))
@@ -167,7 +168,7 @@ def kg_verify(spark: SparkSession, sf: str) -> DataFrame:
   o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n > 3, CASE WHEN n > 3 THEN NOT contains(summary, 'that') ELSE false END, n) AS m FROM r) SELECT query_id, pid FROM o WHERE m <= greatest(3, CAST(floor(c * 0.5) AS INT))"""
 )
 def keyword_soft_filter(spark: SparkSession, sf: str) -> DataFrame:
-    lex = R.lexical_channel(A.recall_queries(spark, sf), A.memories(spark, sf), P)
+    lex = R.lexical_channel(A.recall_queries(spark, sf), A.memories(spark, sf), P, text=True)
     return fusion.keyword_filter(lex, F.contains(F.col("summary"), F.lit("that")), 3, 0.5).select("query_id", "pid")
 
 
