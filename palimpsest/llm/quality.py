@@ -4,7 +4,7 @@ Ten overlapping heuristic labellers vote good, bad or nothing on every document.
 (at most 3**10, whatever the corpus) estimates how often each labeller votes what on good and on bad documents, and gives every pattern its
 posterior. The posteriors of a bounded, documented sample train a hashed linear scorer, which then scores all documents. No human label is used.
 
-Null and empty texts get no votes, the prior as posterior and score 0. Repeated rows score alike. An empty table gives an empty result. Extra
+Null and empty texts get no votes, the prior as posterior and score 0. Texts of any length are read whole. Repeated rows score alike. An empty table gives an empty result. Extra
 columns pass through; input columns named like an output are replaced.
 """
 
@@ -94,14 +94,15 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[float, np.nda
 
 
 class Slots(dict):
-    """Hashed feature slots of a word: its shape, length and end. Bounded."""
+    """Hashed feature slots of a word: its shape, length and end. Bounded in number and length of words."""
 
     def __missing__(self, word: bytes) -> tuple[int, int, int]:
-        if len(self) > 300_000:
+        if len(self) >= 1 << 17:
             self.clear()
         shape = bytes(dict.fromkeys(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else 117 if c > 127 else c for c in word))
         out = tuple(1 + zlib.crc32(x) % (SIZE - 1) for x in (b"s" + shape, b"l%d" % min(len(word), 20), b"e" + word[-2:].lower()))
-        self[word] = out
+        if len(word) <= 64:
+            self[word] = out
         return out
 
 
