@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,8 +54,8 @@ def dense_top_k(queries: DataFrame, memories: DataFrame, k: int, floor: float, p
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, vectors, norms = shared.value
             for b in batches:
-                wide = [len(x) == vectors.shape[1] if x is not None else False for x in b.column(2)]
-                b = b.filter(pa.array(wide, pa.bool_())) if not all(wide) else b
+                wide = pc.fill_null(pc.equal(pc.list_value_length(b.column(2)), vectors.shape[1]), False)
+                b = b.filter(wide)
                 if not b.num_rows:
                     continue
                 m = _matrix(b.column(2))

@@ -56,6 +56,26 @@ def expand_paths(seeds: DataFrame, edges: DataFrame, hops: int | None = None, li
     return seen
 
 
+def expand_trails(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int | None = None, p: Params = DEFAULT) -> DataFrame:
+    """query_id, subj, pred, obj, hop: trails of one to `hops` edges from each seed (query_id, name), in which no edge occurs twice but nodes may.
+
+    pred is that of the first edge. limit: trails for each seed, the shortest first, then by object, predicate and edges. Edges need an eid.
+    """
+    steps = edges.filter(active()).filter("subj is not null and obj is not null").select("eid", "subj", "pred", "obj")
+    steps = steps.select("eid", F.col("subj").alias("src"), "pred", F.col("obj").alias("dst")).unionByName(steps.filter("subj <> obj").select("eid", F.col("obj").alias("src"), "pred", F.col("subj").alias("dst")))
+    now = seeds.select("query_id", F.col("name").alias("subj"), F.col("name").alias("at"), F.lit(None).cast("string").alias("pred"), F.array().cast("array<string>").alias("trail")).distinct()
+    found = None
+    for hop in range(1, hops + 1):
+        moved = now.join(steps.withColumnRenamed("pred", "_p"), F.col("at") == F.col("src")).filter(~F.array_contains("trail", F.col("eid")))
+        now = moved.select("query_id", "subj", F.col("dst").alias("at"), F.coalesce("pred", "_p").alias("pred"), F.concat("trail", F.array("eid")).alias("trail"))
+        rows = now.withColumn("hop", F.lit(hop))
+        found = rows if found is None else found.unionByName(rows)
+    if limit:
+        order = W.partitionBy("query_id", "subj").orderBy("hop", "at", "pred", "trail")
+        found = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
+    return found.select("query_id", "subj", "pred", F.col("at").alias("obj"), "hop")
+
+
 def entity_search(queries: DataFrame, nodes: DataFrame, p: Params = DEFAULT, segment: Segmenter | None = None) -> DataFrame:
     """query_id, name, raw: node names by lexical score, one for each lower-cased name, the best few."""
     index = bm25.build(nodes.select(F.col("name").alias("pid"), F.col("name").alias("summary")).distinct(), stop=[], segment=segment)
@@ -107,6 +127,45 @@ def associate(queries: DataFrame, paths: DataFrame, memories: DataFrame, p: Para
     return hit.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.assoc_cap).select("query_id", "pid", "hop", "overlap", "assoc_score")
 
 
+def spread_names(seeds: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """query_id, name, hop, path, pos: the seeds (query_id, names; hop 1) and what they lead to, in the order of discovery.
+
+    Of each hop's new names the first few go on, each to its newest neighbours; a name counts once whatever its case.
+    """
+    seen = seeds.select("query_id", F.posexplode("names").alias("pos", "name")).withColumn("name", F.trim("name")).filter(F.length("name") >= 2)
+    first = W.partitionBy("query_id", F.lower("name")).orderBy("pos")
+    seen = seen.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("query_id", "name", F.lit(1).alias("hop"), F.array("name").alias("path"), F.col("pos").cast("long").alias("pos"))
+    edge = seen
+    for hop in range(1, p.assoc_hops + 1):
+        ahead = edge.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy("pos"))).filter(F.col("_r") <= p.assoc_neighbours)
+        near = expand_one(ahead.select("query_id", "name"), edges, p.assoc_neighbours, p).select("query_id", F.col("src").alias("name"), F.col("dst").alias("new"), "n")
+        moved = near.join(ahead.select("query_id", "name", "path", "_r"), ["query_id", "name"]).filter(F.length("new") >= 2)
+        moved = moved.select("query_id", F.col("new").alias("name"), F.concat("path", F.array("new")).alias("path"), (F.lit(hop * 1_000_000) + F.col("_r") * 1_000 + F.col("n")).cast("long").alias("pos"))
+        known = seen.select(F.col("query_id").alias("_q"), F.lower("name").alias("_l"))
+        moved = moved.join(known, (F.col("query_id") == F.col("_q")) & (F.lower("name") == F.col("_l")), "left_anti")
+        edge = moved.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("query_id", "name", F.lit(hop + 1).alias("hop"), "path", "pos")
+        seen = seen.unionByName(edge)
+    return seen
+
+
+def scored_associations(hits: DataFrame, spread: DataFrame, seeds: DataFrame, said: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """query_id, pid, hop, reason, overlap, assoc_score of hits (query_id, pid, summary, importance, ts, entities): the best `assoc_cap` of each query.
+
+    A hit's hop is that of the spread name which it names most (among its entities, in its summary), the first found of equal ones. Hits whose summary is
+    a seed's (said: query_id, summary) are left out. A query has few hits and few names, so their join stays small.
+    """
+    told = said.select(F.col("query_id").alias("_q"), F.lower("summary").alias("_l")).distinct()
+    new = hits.join(told, (F.col("query_id") == F.col("_q")) & (F.lower("summary") == F.col("_l")), "left_anti")
+    named = F.size(F.filter("entities", lambda e: F.lower(e) == F.lower("name"))) + F.contains(F.lower("summary"), F.lower("name")).cast("int")
+    best = new.join(spread.select("query_id", "name", "hop", "path", "pos"), "query_id").withColumn("_c", named)
+    best = best.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "pid").orderBy(F.desc("_c"), "pos"))).filter("_n = 1")
+    out = best.join(seeds.select("query_id", "names"), "query_id").withColumn("overlap", X.overlap_ratio(F.col("names"), F.col("entities"))).filter(X.activated(F.col("overlap"), F.col("hop"), p))
+    out = out.withColumns({"assoc_score": X.association_score(F.col("overlap"), F.col("hop"), F.col("importance"), F.col("ts"), p), "_k": F.substring("summary", 1, 60)})
+    out = out.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "_k").orderBy(F.desc("assoc_score"), "pid"))).filter("_n = 1")
+    out = out.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("assoc_score"), "pid"))).filter(F.col("_n") <= p.assoc_cap)
+    return out.select("query_id", "pid", "hop", F.array_join("path", " → ").alias("reason"), "overlap", "assoc_score")
+
+
 def schema_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """kind, name, n: predicates that sanitise to another, and labels that are not allowed."""
     bad_edges = edges.groupBy("pred").agg(F.count("*").alias("n")).filter(sanitize_predicate(F.col("pred")) != F.col("pred")).select(F.lit("predicate").alias("kind"), F.col("pred").alias("name"), "n")

@@ -31,6 +31,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from palimpsest.plans import event_queries, graph_queries, layer_queries, recall_queries, search_queries, text_queries, write_queries  # noqa: F401
+    from palimpsest.plans import audit_queries, event_queries, graph_queries, layer_queries, recall_queries, search_queries, text_queries, write_queries  # noqa: F401
 
     return QUERIES, SQL

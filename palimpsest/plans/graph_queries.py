@@ -30,7 +30,7 @@ def graph_expand_1hop(spark: SparkSession, sf: str) -> DataFrame:
     return graph.expand_one(_seeds(spark, sf), A.edges(spark, sf)).select("query_id", "src", "dst", "pred", "summary", "n")
 
 
-GEO = f"geo AS (SELECT DISTINCT src, dst FROM (SELECT subj AS src, obj AS dst FROM edges WHERE {Q.ACTIVE} AND pred <> 'ORDERED' UNION ALL SELECT obj, subj FROM edges WHERE {Q.ACTIVE} AND pred <> 'ORDERED') WHERE src <> dst)"
+GEO = f"geo AS (SELECT DISTINCT src, dst FROM (SELECT subj AS src, obj AS dst FROM edges WHERE {Q.ACTIVE} UNION ALL SELECT obj, subj FROM edges WHERE {Q.ACTIVE}) WHERE src <> dst)"
 
 
 @query(
@@ -40,14 +40,13 @@ GEO = f"geo AS (SELECT DISTINCT src, dst FROM (SELECT subj AS src, obj AS dst FR
 )
 def graph_expand_khop(spark: SparkSession, sf: str) -> DataFrame:
     seeds = A.table(spark, sf, "region").select(F.col("r_regionkey").alias("query_id"), F.col("r_name").alias("name"))
-    out = graph.expand_paths(seeds, A.edges(spark, sf).filter("pred <> 'ORDERED'"))
+    out = graph.expand_paths(seeds, A.edges(spark, sf))
     return out.select("query_id", "name", "hop", F.array_join("path", ">").alias("path"))
 
 
 @query(
     """WITH asked AS (SELECT DISTINCT lower(n_name) AS name FROM nation UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part), known AS (SELECT DISTINCT n_name AS alias FROM nation UNION SELECT DISTINCT p_name FROM part),
-  s AS (SELECT name, alias, CASE WHEN lower(name) = lower(alias) THEN 1.0::DOUBLE WHEN contains(lower(name), lower(alias)) OR contains(lower(alias), lower(name)) THEN 0.7::DOUBLE ELSE 0 END AS score FROM asked, known WHERE length(name) >= 2
-    AND len(list_intersect(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+'), regexp_extract_all(lower(alias), '[\\p{L}\\p{N}]+'))) > 0)
+  s AS (SELECT name, alias, CASE WHEN lower(name) = lower(alias) THEN 1.0::DOUBLE WHEN contains(lower(name), lower(alias)) OR contains(lower(alias), lower(name)) THEN 0.7::DOUBLE ELSE 0 END AS score FROM asked, known WHERE length(name) >= 2)
   SELECT name, alias, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, alias) AS n FROM s WHERE score >= 0.7) WHERE n = 1 AND name <> alias"""
 )
 def alias_resolve(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +105,7 @@ def cross_collection_dup(spark: SparkSession, sf: str) -> DataFrame:
     return audit.cross_collection(A.memories(spark, sf))
 
 
-@query(f"WITH {Q.EDGES}, r AS (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation WHERE n_regionkey < 2) SELECT eid FROM edges WHERE (ko_summary IS NULL OR ko_summary <> 'geography') AND NOT (subj IN (SELECT name FROM r) AND obj IN (SELECT name FROM r))")
+@query(f"WITH {Q.EDGES}, r AS (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation WHERE n_regionkey < 2) SELECT eid FROM edges WHERE {Q.ACTIVE} AND (ko_summary IS NULL OR ko_summary <> 'geography') AND NOT coalesce(source <> '' AND contains('geography', source), false) AND NOT (subj IN (SELECT name FROM r) AND obj IN (SELECT name FROM r))")
 def orphan_edges(spark: SparkSession, sf: str) -> DataFrame:
     n, r = A.table(spark, sf, "nation"), A.table(spark, sf, "region")
     names = r.select(F.col("r_name").alias("x")).union(n.filter("n_regionkey < 2").select("n_name"))

@@ -217,6 +217,34 @@ def legacy_recall(
     return fusion.top(best, p.kg_top).select("query_id", "rank", "pid", "summary", "channels", "score", "sort_key", "sim", "is_weak")
 
 
+def associations(queries: DataFrame, seeds: DataFrame, said: DataFrame, memories: DataFrame, edges: DataFrame, model: TextModel, p: Params = DEFAULT) -> DataFrame:
+    """query_id, pid, hop, reason, overlap, assoc_score: what a query's seeds bring to mind.
+
+    The seeds' names (query_id, names) spread over the graph; query, three seed summaries (said: query_id, n, summary) and fifteen names are embedded for a
+    dense search, whose hits are scored by overlap, nearness, importance and age.
+    """
+    spread = graph.spread_names(seeds, edges, p)
+    joined = lambda df, order, column: df.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column]), " ").alias("_" + column))
+    few = spread.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("pos"))).filter("_n <= 15")
+    text = queries.select("query_id", "text").join(joined(few, "pos", "name"), "query_id").join(joined(said.filter("n <= 3"), "n", "summary"), "query_id", "left")
+    asked = embedded(text.select("query_id", F.concat_ws(" ", "text", "_summary", "_name").alias("text")), model)
+    hits = dense_top_k(asked, memories, p.assoc_cap, 0.0).select("query_id", "pid").join(memories.select("pid", "summary", "importance", "ts", "entities"), "pid").filter("summary <> ''")
+    return graph.scored_associations(hits, spread, seeds, said, p)
+
+
+def trace(stages: dict[str, DataFrame], key: str = "fkey", score: str = "score") -> DataFrame:
+    """query_id, stage, n, first: how many items each stage of a recall left for a query, and the key of its best."""
+    parts = []
+    for k, (name, df) in enumerate(stages.items()):
+        by = next(c for c in ("rerank_score", "sort_key", score) if c in df.columns)
+        best = F.max_by(key, F.struct(F.col(by), F.col(key)))
+        parts.append(df.groupBy("query_id").agg(F.count("*").alias("n"), best.alias("first")).select("query_id", F.lit(f"{k}-{name}").alias("stage"), "n", "first"))
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def embedded(queries: DataFrame, model: TextModel) -> DataFrame:
     """query_id, text, embedding of queries (query_id, text)."""
     vectors = model(queries.select("text").distinct())
