@@ -1,115 +1,17 @@
-"""Helpers shared by the training-data operators: the shared work folder, staged tables and Arrow access to text."""
+"""Helpers shared by the training-data operators: names, Arrow access to text, hashes. The work folder and its tables are the library's own."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
-#: Workspaces that still own files or tables, by application; for whom new ones are opened.
-_open: dict[str, list[Workspace]] = {}
-_owner = ""
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset, a local master takes a temporary folder; a cluster must name a shared one."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-class Workspace:
-    """Tables that one operator run writes to the shared folder. Written tables cut lineage: a lost executor costs a re-read, not a recomputation.
-
-    An operator drops what it no longer reads. What its lazy result still reads stays until `release`, which the caller runs once the
-    result is written.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n, self.freed = spark, shared_dir(spark), 0, time.monotonic()
-        self.tables: set[str] = set()
-        self.owner = _owner
-        _open.setdefault(spark.sparkContext.applicationId, []).append(self)
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
-
-    def stage(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", compression).parquet(path)
-        schema = df.schema
-        del df
-        self.free()
-        out = self.spark.read.schema(schema).parquet(path)
-        out._staged_at = path
-        return out
-
-    def free(self) -> None:
-        """Lets Spark delete shuffle files that no live plan needs: it does so when the driver collects garbage, which an idle driver hardly does."""
-        if time.monotonic() - self.freed > 3:
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            self.freed = time.monotonic()
-
-    def _delete(self, path: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def drop(self, *staged: DataFrame | None) -> None:
-        """Deletes staged tables (as `stage` returned them)."""
-        for df in staged:
-            if df is not None:
-                self._delete(df._staged_at)
-
-    def table(self, name: str) -> str:
-        """Notes a catalogue table that goes with this workspace."""
-        self.tables.add(name)
-        return name
-
-    def drop_table(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.tables.discard(name)
-
-    def close(self) -> None:
-        """Deletes all that this workspace still owns."""
-        for name in [*self.tables]:
-            self.drop_table(name)
-        self._delete(self.root)
-        mine = _open.get(self.spark.sparkContext.applicationId, [])
-        if self in mine:
-            mine.remove(self)
-
-
-def release(spark: SparkSession, owner: str | None = None) -> None:
-    """Deletes the working tables of an owner's operators, or of all that ran so far in this application. Their lazy results must have been written."""
-    for ws in [*_open.get(spark.sparkContext.applicationId, [])]:
-        if owner in (None, ws.owner):
-            ws.close()
-
-
-@contextmanager
-def stage_tables(spark: SparkSession, owner: str = "stage") -> Iterator[None]:
-    """Operators called inside work for one pipeline stage. What the stage before left is deleted first: its result has been written by then."""
-    global _owner
-    release(spark, owner)
-    before, _owner = _owner, owner
-    try:
-        yield
-    finally:
-        _owner = before
+from palimpsest.storage import Workspace, release, shared_dir, stage_tables
+
+__all__ = ["Workspace", "release", "shared_dir", "stage_tables"]
 
 
 def spare_name(df: DataFrame, name: str) -> str:

@@ -116,9 +116,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every taken document as often as it is taken, with the columns of docs."""
+    """The mixed corpus: every taken document as often as it is taken, with the columns of docs. The documents are written once, bucketed by row, so that texts are shuffled once however many there are."""
     rid = spare_name(docs, "_rid")
-    kept = Workspace(docs.sparkSession).stage(docs.withColumn(rid, F.monotonically_increasing_id()), "docs")
+    kept = Workspace(docs.sparkSession).bucketed(docs.withColumn(rid, F.monotonically_increasing_id()), rid)
     times = spare_name(kept, "_times")
     chosen = plan(kept, rid=rid, **options).filter("copies > 0").select(F.col("_rid").alias(rid), F.col("copies").cast("int").alias(times))
     out = kept.join(chosen, rid)

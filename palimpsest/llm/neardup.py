@@ -45,7 +45,7 @@ SALT_1, SALT_2, LENGTH = (np.uint64(x) for x in _random.integers(0, 1 << 63, 3,
 
 
 class WordHashes(dict):
-    """xxh64 of words; two generations of a bounded size are kept."""
+    """xxh64 of words; two generations of a bounded number of words of bounded length are kept."""
 
     def __init__(self, most: int = 1 << 17):
         self.most, self.old = most, {}
@@ -54,10 +54,11 @@ class WordHashes(dict):
         found = self.old.get(word)
         if found is None:
             found = xxhash.xxh64_intdigest(word)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -355,8 +356,11 @@ def _texts(ws: Workspace, rows: DataFrame, need: DataFrame) -> DataFrame:
 
 
 def classes(ws: Workspace, docs: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """The sketched documents and, for each distinct set, f1, f2, cid, label: equal labels mean connected sets."""
-    rows = ws.stage(sketched(docs), "sketches")
+    """The sketched documents and, for each distinct set, f1, f2, cid, label: equal labels mean connected sets.
+
+    The documents are written once, bucketed by row: no later join shuffles their texts.
+    """
+    rows = ws.bucketed(sketched(docs), "_nd_id")
     sets = ws.stage(rows.filter("_nd_n > 0").groupBy("_nd_f1", "_nd_f2").agg(F.min("_nd_id").alias("cid")), "classes")
     reps = rows.select(F.col("_nd_id").alias("cid"), F.col("_nd_n").alias("size"), F.col("_nd_top").alias("top"), F.col("_nd_bytes").alias("bytes")).join(sets.select("cid"), "cid")
     reps = ws.stage(reps, "reps")

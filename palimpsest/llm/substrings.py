@@ -23,7 +23,6 @@ reserved. Cutting bytes can split a character: `kept` has the exact bytes, `text
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -260,12 +259,10 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True)
     if not 8 <= length <= SPOT + 1:
         raise ValueError(f"length must be 8 to {SPOT + 1}")
     spark = docs.sparkSession
-    ws, buckets = Workspace(spark), partitions(spark)
-    name = ws.table(f"palimpsest_texts_{uuid.uuid4().hex}")
+    ws = Workspace(spark)
     held = docs.withColumn("doc_id", col_or_null(docs, "doc_id", "long")).withColumn("text", col_or_null(docs, "text", "string"))
     held = held.withColumn("_sd_id", F.monotonically_increasing_id())
-    held.repartition(buckets, "_sd_id").write.format("parquet").option("compression", "zstd").bucketBy(buckets, "_sd_id").saveAsTable(name)
-    table = spark.table(name)
+    table = ws.bucketed(held, "_sd_id")
     found = repeats(ws, table, length)
     per_doc = found.groupBy("_sd_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_sd_cover"))
     joined = table.join(per_doc, "_sd_id", "left")
@@ -298,7 +295,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_text: bool = True)
     out = joined.mapInArrow(run, schema_with(joined.select(*[f"`{c}`" for c in keep]), **added))
     if not keep_text:
         out = ws.stage(out, "digests")
-        ws.drop_table(name)
+        ws.drop(table)
     return out
 
 
