@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token output.
 
 Each stage takes the documents that its predecessor kept, written as Parquet and read again, and returns documents with the same columns; the
-last returns one row for each document in the token files.
+last returns one row for each document in the token files. A stage deletes the working tables of the stage before, whose result is written by then.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.common import Workspace
+from palimpsest.llm.common import Workspace, stage_tables
 from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.mixing import mix
 from palimpsest.llm.neardup import keep_one
@@ -20,27 +20,32 @@ from palimpsest.llm.toxicity import drop_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go."""
-    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with stage_tables(spark):
+        return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that of the smallest doc_id."""
-    return keep_one(docs)
+    with stage_tables(spark):
+        return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go from the texts; documents that are mostly benchmark go."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with stage_tables(spark):
+        return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the proportions of their weights; a document taken twice stands twice."""
-    return mix(docs)
+    with stage_tables(spark):
+        return mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token files, read back."""
-    return token_digests(docs)
+    with stage_tables(spark):
+        return token_digests(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,8 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark)
+    ws, before = Workspace(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = ws.stage(stage(spark, docs, sf_dir), name)
+        ws.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
