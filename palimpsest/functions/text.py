@@ -43,6 +43,27 @@ def tokens(text: Column, stop: list[str] | None = None, cjk: bool = False, segme
     return F.filter(runs, keep)
 
 
+#: Array of words with their kinds (n..., v..., eng) of a text: array<struct<word:string,kind:string>>.
+Tagger = Callable[[Column], Column]
+
+
+def plain_tagger(text: Column) -> Column:
+    """Without a model: Latin identifiers are 'eng', Han bigrams nouns."""
+    latin = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z0-9_-]+"), F.lit(0)), lambda w: F.struct(w.alias("word"), F.lit("eng").alias("kind")))
+    han = F.transform(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CJK + "{2,}"), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))))), lambda w: F.struct(w.alias("word"), F.lit("n").alias("kind")))
+    return F.concat(latin, han)
+
+
+def query_keywords(text: Column, tagger: Tagger = plain_tagger) -> Column:
+    """struct(intent, entity): words that say what is asked for (verbs, attributes, privacy words) and whom or what about (nouns, identifiers in lower case)."""
+    words = F.filter(tagger(text), lambda w: (strip(w["word"]) != "") & ~w["word"].isin(S.QUERY_STOP_WORDS))
+    rooted = lambda w: F.exists(F.array(*map(F.lit, S.ATTRIBUTE_ROOTS)), lambda r: F.contains(w["word"], r))
+    wanted = lambda w: (w["kind"] != "eng") & (w["word"].isin(S.PRIVACY_WORDS) | w["word"].isin(S.ATTRIBUTE_NOUNS) | rooted(w) | (w["kind"].startswith("v") & ~w["word"].isin(S.GENERIC_VERBS)))
+    intent = F.transform(F.filter(words, wanted), lambda w: w["word"])
+    entity = F.transform(F.filter(words, lambda w: (w["kind"] == "eng") | (w["kind"].startswith("n") & ~wanted(w))), lambda w: F.when(w["kind"] == "eng", F.lower(w["word"])).otherwise(w["word"]))
+    return F.struct(intent.alias("intent"), entity.alias("entity"))
+
+
 def grams(text: Column, n: int) -> Column:
     """Distinct substrings of n characters."""
     return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
@@ -124,12 +145,13 @@ def discardable(summary: Column) -> Column:
     return (F.length(s) < 4) | s.rlike(rf"(?U)\b{S.SWEAR_RECORD}\b") | s.rlike(S.VENT)
 
 
-def vague(summary: Column) -> Column:
+def vague(summary: Column, concrete: Callable[[Column], Column] | None = None) -> Column:
+    """Too short, a stock phrase or, by a given test (a tagger's), without any concrete action."""
     s = strip(F.coalesce(summary, F.lit("")))
     out = F.length(s) < 6
     for p in S.VAGUE:
         out = out | s.rlike(p)
-    return out
+    return out | ~concrete(s) if concrete else out
 
 
 def graph_filler(summary: Column) -> Column:

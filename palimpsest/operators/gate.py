@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import schemas as S
-from palimpsest.functions.text import CJK, strip
+from palimpsest.functions.text import CJK, Tagger, strip
 from palimpsest.params import DEFAULT, Params
 
 
@@ -31,8 +31,10 @@ def gate_reason(text: Column, p: Params = DEFAULT) -> Column:
     )
 
 
-def has_noun(text: Column) -> Column:
-    """Soft gate without a tagger: a Latin identifier or a Han character. Only logged."""
+def has_noun(text: Column, tagger: Tagger | None = None) -> Column:
+    """Soft gate: a noun or identifier by the tagger; without one a Latin identifier or a Han character. Only logged."""
+    if tagger:
+        return F.exists(tagger(text), lambda w: w["kind"].startswith("n") | (w["kind"] == "eng"))
     return text.rlike(r"[A-Za-z0-9_-]{2,}") | text.rlike(CJK)
 
 

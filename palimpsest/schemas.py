@@ -57,3 +57,17 @@ STOP_WORDS = [
     "会", "着", "没有", "看", "好", "自己", "这", "那", "他", "她", "它", "们", "吗", "吧", "啊", "呢", "哦", "嗯", "噢", "呀",
     "a", "b", "c", "i", "the", "is", "to", "and", "of", "in",
 ]
+# What splits a query's words into what is asked for and whom it is about.
+QUERY_STOP_WORDS = [
+    "的", "了", "吗", "呢", "啊", "吧", "么", "什么", "怎么", "如何", "为啥", "为什么", "在", "和", "跟", "与", "及", "一个", "一起", "有", "是", "就", "都", "也", "还",
+    "这", "那", "我", "你", "他", "她", "它", "我们", "你们", "他们", "最近", "现在", "经常", "平时", "喜欢", "想要", "会", "能", "可以", "做", "哪里", "谁",
+]
+ATTRIBUTE_NOUNS = [
+    "习惯", "爱好", "性格", "特点", "饮食", "口味", "偏好", "喜好", "兴趣", "日常", "生活", "工作", "学习", "穿着", "长相", "外貌", "家庭", "身体", "健康", "运动", "娱乐", "休闲",
+]
+ATTRIBUTE_ROOTS = ["习惯", "爱好", "性格", "特点", "饮食", "口味", "偏好", "喜好", "兴趣", "长相", "外貌", "日常", "穿着"]
+PRIVACY_WORDS = ["密码", "账号", "余额", "银行卡", "支付", "转账", "验证码", "登录"]
+GENERIC_VERBS = [
+    "做事", "发生", "进行", "开始", "继续", "起来", "成为", "觉得", "感到", "认为", "干", "做", "搞", "弄", "记", "记得", "知道", "想", "说", "讲", "问", "告诉", "了解",
+    "好玩", "开心", "快乐", "高兴", "有趣",
+]

@@ -51,6 +51,19 @@ def dream_files(spark: SparkSession, root: str, date: str | None = None, kind: s
     return f.filter(F.col("kind") == kind) if kind else f
 
 
+def chosen_dreams(spark: SparkSession, root: str, today: str, file: str | None = None, date: str | None = None, kind: str | None = None) -> DataFrame:
+    """kind, date, text: of one given file; else of a date and kind; else of today's light files; the date 'yesterday' takes light and rem."""
+    from datetime import datetime, timedelta
+
+    if file:
+        f = spark.read.text(file, wholetext=True)
+        return f.select(F.lit(kind).cast("string").alias("kind"), F.lit(date).cast("string").alias("date"), F.col("value").alias("text"))
+    if date == "yesterday":
+        before = (datetime.strptime(today, "%Y-%m-%d") - timedelta(days=1)).strftime("%Y-%m-%d")
+        return dream_files(spark, root, before).filter(F.col("kind").isin("light", "rem"))
+    return dream_files(spark, root, date or today, kind or "light")
+
+
 def event_log(lines: DataFrame, day: str | None = None, column: str = "value") -> DataFrame:
     """ts, event, fields of Markdown blocks (one block a row: header, '- **key**: value' lines, fenced JSON).
 

@@ -77,22 +77,68 @@ def state_step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple | N
     return now, None
 
 
-def runtime_states(messages: DataFrame) -> DataFrame:
-    """Ingested work of a stream of messages (agent_id, ts, status, task, summary): append mode, state by agent."""
+def runtime_states(messages: DataFrame, forget_hours: float = 24.0) -> DataFrame:
+    """Ingested work of a stream of messages (agent_id, ts, status, task, summary): append mode, state by agent.
+
+    An agent that is silent for forget_hours is given up: what it had comes out as 'stalled' and its state goes, so that state does not grow with all
+    agents ever seen.
+    """
+    limit = int(forget_hours * 3_600_000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
         held = (held[0], tuple(held[1] or ()), held[2]) if held else None
         out = []
-        rows = pd.concat(list(frames)).sort_values(["ts", "summary"])
-        for r in rows.itertuples():
-            held, done = state_step(held, (r.status, r.task, r.summary, r.ts.isoformat()))
-            if done:
-                out.append((key[0], "ingest", done[0], list(done[1]), done[2]))
-        state.update((held[0], list(held[1]), held[2]))
+        if state.hasTimedOut:
+            if held and held[1]:
+                out.append((key[0], "stalled", held[0], list(held[1]), held[2]))
+            state.remove()
+        else:
+            rows = pd.concat(list(frames)).sort_values(["ts", "summary"])
+            for status, task, summary, ts in zip(rows["status"], rows["task"], rows["summary"], rows["ts"], strict=True):
+                held, done = state_step(held, (status, task, summary, ts.isoformat()))
+                if done:
+                    out.append((key[0], "ingest", done[0], list(done[1]), done[2]))
+            state.update((held[0], list(held[1]), held[2]))
+            state.setTimeoutDuration(limit)
         yield pd.DataFrame(out, columns=["agent_id", "action", "task", "parts", "from_iso"])
 
-    return messages.groupBy("agent_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return messages.groupBy("agent_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def incremental_index(memories: DataFrame, path: str, checkpoint: str):
+    """A stream of records (pid, summary) into the documents of a lexical index: each micro-batch appends the tokens of its records, no old text is cut again.
+
+    `bm25.Index.of(spark.read.parquet(path))` is the index at any time; a record that comes again has its newest row by `batch`.
+    """
+    from palimpsest.functions.text import tokens
+
+    def batch(df: DataFrame, number: int) -> None:
+        docs = df.dropDuplicates(["pid"]).select("pid", tokens(F.coalesce("summary", F.lit("")), cjk=True).alias("t")).withColumns({"dl": F.size("t"), "batch": F.lit(number)})
+        docs.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return memories.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def index_documents(spark, path: str) -> DataFrame:
+    """pid, dl, t of an incremental index: the newest row of each record."""
+    held = spark.read.parquet(path)
+    return held.withColumn("_n", F.row_number().over(W.partitionBy("pid").orderBy(F.desc("batch")))).filter("_n = 1").select("pid", "dl", "t")
+
+
+def daily_batch(spark, folder: str, write: Callable[[DataFrame, object], object], checkpoint: str, now=None):
+    """Ingests all four-layer JSON files below a folder that no earlier run has seen, then stops (a daily job)."""
+    from datetime import datetime
+
+    from palimpsest.sources.files import four_layers
+
+    raw = spark.readStream.format("text").option("wholetext", True).load(folder)
+    docs = raw.select(F.md5(F.col("value").cast("binary")).alias("bundle_id"), "value")
+
+    def batch(df: DataFrame, number: int) -> None:
+        write(four_layers(df), now or datetime.now())
+
+    return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def recall_stream(messages: DataFrame, recall: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
