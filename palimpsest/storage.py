@@ -27,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Arrow batches unless the session has set its own: so many rows and bytes at most, so that batches of long texts stay small on both sides of the pipe.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(16 << 20))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, (default, wanted) in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or now == default or (default is None and int(now) > 1 << 30):
+            spark.conf.set(key, wanted)
+
+
 class Workspace:
     """Tables that one operator run writes to the shared folder. Written tables cut lineage: a lost executor costs a re-read, not a recomputation.
 
@@ -37,6 +48,7 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n, self.freed = spark, shared_dir(spark), 0, time.monotonic()
         self.tables: set[str] = set()
+        small_batches(spark)
         self.owner = _owner
         _open.setdefault(spark.sparkContext.applicationId, []).append(self)
 
