@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.storage import Workspace, release, shared_dir, stage_tables
+from palimpsest.storage import Workspace, release, shared_dir, small_batches, stage_tables
 
-__all__ = ["Workspace", "release", "shared_dir", "stage_tables"]
+__all__ = ["Workspace", "release", "shared_dir", "small_batches", "stage_tables"]
 
 
 def spare_name(df: DataFrame, name: str) -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Workspace, raw, schema_with, slices, spare_name, with_columns
+from palimpsest.llm.common import Workspace, raw, schema_with, slices, small_batches, spare_name, with_columns
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -204,6 +204,7 @@ TYPES = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
 def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000, names: tuple[str, str, str] = MATCHED) -> DataFrame:
     """docs with n_words long, hit_spans array<int> (starts and ends of merged runs of hit words, in turn), hit_items array<string>."""
     spark = docs.sparkSession
+    small_batches(spark)
     schema = schema_with(docs, **dict(zip(names, ("long", "array<int>", "array<string>"), strict=True)))
     blocks = item_blocks(benchmark, block_words)
     items, more = next(blocks), next(blocks, None)
