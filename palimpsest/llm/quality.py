@@ -97,7 +97,7 @@ class Slots(dict):
     """Hashed feature slots of a word: its shape, length and end. Bounded in number and length of words."""
 
     def __missing__(self, word: bytes) -> tuple[int, int, int]:
-        if len(self) >= 1 << 17:
+        if len(self) >= 300_000:
             self.clear()
         shape = bytes(dict.fromkeys(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else 117 if c > 127 else c for c in word))
         out = tuple(1 + zlib.crc32(x) % (SIZE - 1) for x in (b"s" + shape, b"l%d" % min(len(word), 20), b"e" + word[-2:].lower()))
