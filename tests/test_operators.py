@@ -201,3 +201,16 @@ def test_registered_queries_have_sql():
     assert len(q) >= 90 and set(s) <= set(q)
     missing = [n for n in q if n not in s and not n.startswith("op") and n != "pipeline"]
     assert missing == []
+
+
+def test_lsh_pairs_recall(spark):
+    """The form for large tables: verified pairs only, and nine of ten of the exact ones at least."""
+    import random
+
+    r = random.Random(1)
+    base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(120)]
+    rows = [(str(k), [x + r.gauss(0, 0.15) for x in base[k % 120]]) for k in range(360)]
+    v = spark.createDataFrame(rows, "pid string, embedding array<double>")
+    exact = {(x.a, x.b) for x in dense.similar_pairs(v, 0.9).collect()}
+    near = {(x.a, x.b): x.sim for x in dense.lsh_pairs(v, 0.9).collect()}
+    assert len(exact) > 200 and len(exact & set(near)) >= 0.9 * len(exact) and min(near.values()) >= 0.899
