@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -201,11 +201,17 @@ MATCHED = ("n_words", "hit_spans", "hit_items")
 TYPES = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000, names: tuple[str, str, str] = MATCHED) -> DataFrame:
-    """docs with n_words long, hit_spans array<int> (starts and ends of merged runs of hit words, in turn), hit_items array<string>."""
+Then = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000, names: tuple[str, str, str] = MATCHED, then: tuple[Then, str] | None = None) -> DataFrame:
+    """docs with n_words long, hit_spans array<int> (starts and ends of merged runs of hit words, in turn), hit_items array<string>.
+
+    then: a function of these batches, and the schema of what it makes, to run in the same worker.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    schema = schema_with(docs, **dict(zip(names, ("long", "array<int>", "array<string>"), strict=True)))
+    after, schema = then or (iter, schema_with(docs, **dict(zip(names, ("long", "array<int>", "array<string>"), strict=True))))
     blocks = item_blocks(benchmark, block_words)
     items, more = next(blocks), next(blocks, None)
     if more is None:
@@ -218,7 +224,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
                 new = ([len(ws) for ws in texts], [[x for s in hit for x in s] for hit, _ in found], [sorted(f) for _, f in found])
                 yield with_columns(b, {n: pa.array(v, t) for n, v, t in zip(names, new, TYPES, strict=True)})
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(lambda batches: after(run(batches)), schema)
 
     ws, rid, at = Workspace(spark), spare_name(docs, "_rid"), spare_name(docs, "_hits")
     rows = ws.stage(docs.withColumn(rid, F.monotonically_increasing_id()), "docs")
@@ -239,7 +245,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
             new = ([len(words(t)) for t in raw(b.column(columns.index("text")))], [[x for s in hit for x in s] for hit in spans], [f["items"] if f else [] for f in found])
             yield with_columns(b.select([c for c in columns if c not in (rid, at)]), {n: pa.array(v, t) for n, v, t in zip(names, new, TYPES, strict=True)})
 
-    return joined.select(*[f"`{c}`" for c in docs.columns], f"`{rid}`", f"`{at}`").mapInArrow(meet, schema)
+    return joined.select(*[f"`{c}`" for c in docs.columns], f"`{rid}`", f"`{at}`").mapInArrow(lambda batches: after(meet(batches)), schema)
 
 
 def _hits(rows: DataFrame, shared) -> DataFrame:
@@ -259,7 +265,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     A removed span reaches from its first word's first byte to its last word's last byte; the rest of the text stays byte for byte.
     """
     n_words, hit_spans, hit_items = names = tuple(spare_name(docs, n) for n in MATCHED)
-    found, columns = match(docs, benchmark, window, block_words, names), list(docs.columns)
+    columns = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -279,21 +285,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
             clean = with_columns(b, {"text": pa.array([t.decode() if t is not None else None for t in texts], pa.string())})
             yield clean.filter(pa.array(keep, pa.bool_())).select(columns)
 
-    return found.mapInArrow(run, schema_with(docs))
+    return match(docs, benchmark, window, block_words, names, (run, schema_with(docs)))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every document against the whole benchmark."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, items = (b.column(b.schema.names.index(c)).to_pylist() for c in ("hit_spans", "hit_items"))
-            hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+            ids, count, spans, items = (b.column(b.schema.names.index(c)) for c in ("doc_id", *MATCHED))
+            items = items.to_pylist()
+            hit = [sum(s[1::2]) - sum(s[::2]) for s in spans.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]), pa.array([h > 0 for h in hit])],
+                [ids, count, pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]), pa.array([h > 0 for h in hit])],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return found.select("doc_id", "n_words", "hit_spans", "hit_items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), then=(run, schema))
