@@ -140,6 +140,13 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(list(zip(*out, strict=True)) or [()] * 7, kinds, strict=True)], names=names)
 
 
+def _occurring(keys: np.ndarray) -> np.ndarray:
+    """Places of keys that occur twice at least, in order."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    return np.sort(order[np.append(same, False) | np.append(False, same)])
+
+
 def _within_buckets(texts: DataFrame, length: int) -> DataFrame:
     """_sd_id, lo, hi: wanted segments' repeating stretches. texts: SEGMENT rows, range-partitioned and sorted by lead, head."""
     pad = -length % 8
@@ -147,17 +154,18 @@ def _within_buckets(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs_of(batches, 2):
             want, ids, spots = (t.column(c).to_numpy() for c in ("want", "_sd_id", "spot"))
-            parts, distance, of, start = [], [], [], []
-            for k, segment in enumerate(raw(t.column("segment").combine_chunks())):
-                w = np.lib.stride_tricks.sliding_window_view(np.frombuffer(segment, np.uint8), length)
-                parts.append(w)
-                distance.append((spots[k] & SPOT) - np.arange(len(w)))
-                of.append(np.full(len(w), k))
-                start.append((spots[k] >> 24) + np.arange(len(w)))
-            rows = np.concatenate(parts)
+            held = raw(t.column("segment").combine_chunks())
+            x, size = np.frombuffer(b"".join(held), np.uint8), np.array([len(s) for s in held])
+            many = size - length + 1
+            of = np.repeat(np.arange(len(held)), many)
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            where, distance, start = np.repeat(np.cumsum(size) - size, many) + place, (spots & SPOT)[of] - place, (spots >> 24)[of] + place
+            hit = np.zeros(len(of), bool)
+            # Equal windows have equal hashes: only those whose hash occurs again at their distance are sorted by their bytes.
+            again = np.arange(len(of)) if len(x) > PIECE else _occurring(rolling(x, length)[where] ^ mix64(distance))
+            rows = np.lib.stride_tricks.sliding_window_view(x, length)[where[again]]
             rows = np.pad(rows, ((0, 0), (0, pad))) if pad else rows
-            of, start = np.concatenate(of), np.concatenate(start)
-            hit = multikey_ties(rows, np.concatenate(distance)) & (want[of] == 1)
+            hit[again] = multikey_ties(rows, distance[again]) & (want[of[again]] == 1)
             at = np.flatnonzero(hit)
             if len(at):
                 new = np.ones(len(at), bool)
