@@ -38,13 +38,20 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("docs", "terms", "corpus")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where they come from fewer files than there are cores; larger inputs stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def build(memories: DataFrame, column: str = "summary", cjk: bool = True, stop: list[str] | None = None, segment: Segmenter | None = None, keep: tuple[str, ...] = ()) -> Index:
     """A search must cut text as its index does (cjk, stop, segment). Documents without tokens count in N and in the mean length.
 
     The tokens are written to the shared work folder, so that the texts are read and cut once however often the index is used. keep: further columns
     of memories to hold beside them.
     """
-    docs = memories.select("pid", *keep, tokens(F.coalesce(F.col(column), F.lit("")), stop, cjk, segment).alias("t")).withColumn("dl", F.size("t"))
+    docs = spread(memories.select("pid", *keep, column))
+    docs = docs.select("pid", *keep, tokens(F.coalesce(F.col(column), F.lit("")), stop, cjk, segment).alias("t")).withColumn("dl", F.size("t"))
     return Index.of(Workspace(memories.sparkSession).stage(docs, "tokens", "lz4"))
 
 
