@@ -116,10 +116,11 @@ def similar_pairs(vectors: DataFrame, floor: float, block: int = 1024) -> DataFr
 
 def lsh_pairs(vectors: DataFrame, floor: float, tables: int = 8, width: float = 0.5) -> DataFrame:
     """Approximate pairs by random projections (on unit vectors the squared distance is 2 - 2 * cosine)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    unit = vectors.select("pid", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    held = vectors.filter("embedding is not null").select("pid", array_to_vector(F.col("embedding").cast("array<double>")).alias("_v"))
+    unit = Normalizer(inputCol="_v", outputCol="v", p=2.0).transform(held).select("pid", "v")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=width, seed=1).fit(unit)
     far = (2 - 2 * floor) ** 0.5
     both = model.approxSimilarityJoin(unit, unit, far, "d").filter("datasetA.pid < datasetB.pid")
