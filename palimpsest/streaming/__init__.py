@@ -77,13 +77,13 @@ def state_step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple | N
     return now, None
 
 
-def runtime_states(messages: DataFrame, forget_hours: float = 24.0) -> DataFrame:
+def runtime_states(messages: DataFrame, forget_hours: float | None = None) -> DataFrame:
     """Ingested work of a stream of messages (agent_id, ts, status, task, summary): append mode, state by agent.
 
-    An agent that is silent for forget_hours is given up: what it had comes out as 'stalled' and its state goes, so that state does not grow with all
+    With forget_hours (a query that then never is idle) an agent that is silent for so long is given up: what it had comes out as 'stalled' and its state goes, so that state does not grow with all
     agents ever seen.
     """
-    limit = int(forget_hours * 3_600_000)
+    limit = int((forget_hours or 0) * 3_600_000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
@@ -100,10 +100,11 @@ def runtime_states(messages: DataFrame, forget_hours: float = 24.0) -> DataFrame
                 if done:
                     out.append((key[0], "ingest", done[0], list(done[1]), done[2]))
             state.update((held[0], list(held[1]), held[2]))
-            state.setTimeoutDuration(limit)
+            if limit:
+                state.setTimeoutDuration(limit)
         yield pd.DataFrame(out, columns=["agent_id", "action", "task", "parts", "from_iso"])
 
-    return messages.groupBy("agent_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("agent_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if limit else GroupStateTimeout.NoTimeout)
 
 
 def incremental_index(memories: DataFrame, path: str, checkpoint: str):
